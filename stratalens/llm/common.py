@@ -29,7 +29,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stratalens-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -40,8 +42,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 def drop(*frames: DataFrame) -> None:
     """Delete stage tables that no later plan reads."""
     for df in frames:
-        for k, (spark, path) in reversed(list(enumerate(_made))):
-            if any(f"{path.split('/')[-2]}/" in x for x in df.inputFiles()[:1]):
+        for k, (spark, path) in enumerate(_made):
+            if path == df._stage:
                 _remove(spark, path)
                 del _made[k]
                 break

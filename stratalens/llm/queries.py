@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from stratalens.session import table
 
 from .exact_dedup import exact_dedup
+from .language_id import identify_language
+from .minhash import minhash_dedup
+from .packing import best_fit_pack
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -15,6 +20,21 @@ def query(f):
     return f
 
 
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_minhash_near_dedup(spark, sf_dir):
+    return minhash_dedup(table(spark, sf_dir, "documents"), k=2)
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("chain_pos")
