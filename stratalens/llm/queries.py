@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify_language
 from .minhash import minhash_dedup
 from .packing import best_fit_pack
+from .secrets import scan_secrets
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,6 +36,11 @@ def op7_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("chain_pos")
