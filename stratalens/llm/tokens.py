@@ -85,7 +85,7 @@ class WordBPE:
     word, and any that names a special token, goes to the tokenizers library.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -197,15 +197,15 @@ class WordBPE:
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; the cache of word ids is emptied when it is full."""
+        """Little-endian 32-bit ids of each text; a full cache keeps only words that have just come again."""
         out = []
         for a, b in chunks(texts):
             split = [t.split() for t in texts[a:b]]
-            missing = set().union(*split).difference(self.cache)
+            every = set().union(*split)
+            missing = every.difference(self.cache)
             if missing:
                 if len(self.cache) > self.keep:
-                    self.cache.clear()
-                    missing = set().union(*split)
+                    self.cache = {w: self.cache[w] for w in every - missing}
                 self._learn(list(missing))
             out += [b"".join(map(self.cache.__getitem__, s)) for s in split]
         return out
