@@ -6,6 +6,7 @@ import public_tokenizers
 
 from stratalens.session import table
 
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .language_id import identify_language
 from .minhash import minhash_dedup
@@ -31,6 +32,11 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents"), k=2)
 
 
+@query
+def op6_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
