@@ -78,13 +78,26 @@ def bitmap(keys: DataFrame, col: str, n_keys: int) -> tuple[DataFrame, int]:
     return rows.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bitmap")), bits
 
 
-def maybe_in(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
-    """Rows whose key may be in the bitmap: every member, and few others. No shuffle of df."""
+def _tested(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
+    """df with _maybe: false for rows whose key is certainly not in the bitmap. No shuffle of df."""
     rows, bits = made
     at = F.pmod(F.xxhash64(col), F.lit(bits))
     bit = F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1")
-    found = df.withColumns({"_bucket": F.shiftright(at, 15), "_bit": at % 32768}).join(F.broadcast(rows), "_bucket").where(bit == 1)
-    return found.drop("_bucket", "_bit", "_bitmap")
+    found = df.withColumns({"_bucket": F.shiftright(at, 15), "_bit": at % 32768}).join(F.broadcast(rows), "_bucket", "left")
+    return found.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bit", "_bitmap")
+
+
+def maybe_in(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
+    """Rows whose key may be in the bitmap: every member, and few others."""
+    return _tested(df, col, made).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """df less the rows whose key is among ids (a stage table with one column). Rows that the bitmap clears stay
+    where they are; only the others are joined."""
+    tested = _tested(df, col, bitmap(ids, ids.columns[0], ids.count()))
+    rest = tested.where("_maybe").join(ids.distinct(), F.col(col) == F.col(ids.columns[0]), "left_anti")
+    return tested.where("NOT _maybe").unionByName(rest).drop("_maybe")
 
 
 # -- joining rows to groups of which some are very large ------------------------------------

@@ -113,7 +113,7 @@ def profiles(docs: DataFrame, text_col: str, lang_col: str, size: int = PROFILE)
     return found
 
 
-def _predict(learned: dict[str, list[str]], size: int):
+def _predict(learned: dict[str, list[str]], size: int, at_text: int, keep: int):
     langs = sorted(learned)
     every = sorted({g for p in learned.values() for g in p})
     place = {g: k for k, g in enumerate(every)}
@@ -136,7 +136,7 @@ def _predict(learned: dict[str, list[str]], size: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(at_text).to_pylist()]
             lang, score = np.full(len(texts), -1, np.int64), np.zeros(len(texts))
             for a, b in chunks(texts):
                 doc, code, alphabet = grams(texts[a:b])
@@ -166,7 +166,8 @@ def _predict(learned: dict[str, list[str]], size: int):
                 lang[a + doc[start]] = best
                 score[a + doc[start]] = 1 - far[np.arange(len(start)), best] / (size * np.diff(np.append(start, len(doc))))
             said = pa.array([langs[k] if k >= 0 else UND for k in lang.tolist()])
-            yield pa.RecordBatch.from_arrays([ids, said, pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            names = [*batch.schema.names[:keep], "lang_pred", "score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], said, pa.array(score)], names=names)
 
     return run
 
@@ -188,5 +189,15 @@ def identify_language(docs: DataFrame, train: DataFrame | None = None, id_col: s
     seen = (docs if train is None else train).where(~held_out(id_col))
     learned = profiles(seen, text_col, lang_col)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(_predict(learned, PROFILE), "doc_id long, lang_pred string, score double")
+    out = src.mapInArrow(_predict(learned, PROFILE, 1, 1), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text is in some language, that is, not `und`; all columns, in one pass."""
+    learned = profiles(docs.where(~held_out(id_col)), text_col, lang_col)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    kinds = [f.dataType.simpleString() for f in docs.schema]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)) + ", lang_pred string, score double"
+    found = docs.toDF(*names).mapInArrow(_predict(learned, PROFILE, docs.columns.index(text_col), len(names)), schema)
+    return found.where(F.col("lang_pred") != UND).select(*names).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from stratalens.session import table
 
@@ -10,6 +11,7 @@ from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .language_id import identify_language
 from .minhash import minhash_dedup
+from .mixing import mix_sources
 from .packing import best_fit_pack
 from .secrets import scan_secrets
 
@@ -27,6 +29,23 @@ def op1_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def mix_levels():
+    """The tree of the mixing query: domains (sources dealt by checksum), then languages, then sources."""
+    domain = F.concat(F.lit("d"), F.crc32(F.col("source").cast("binary")) % 3)
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+#: Weights of domains and of the languages in each; sources share equally.
+MIX_WEIGHTS = {("d0",): 0.5, ("d1",): 0.3, ("d2",): 0.2} | {(d, lang): w for d in ("d0", "d1", "d2") for lang, w in (("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2))}
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mix_sources(docs, mix_levels(), MIX_WEIGHTS, fraction=0.6, epochs=4)
+    return mixed.select("doc_id", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take").alias("take_tokens"))
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents"), k=2)
