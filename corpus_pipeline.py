@@ -6,7 +6,6 @@ own decision: texts in no language, exact copies, near copies, and documents bey
 """
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from stratalens.llm.common import save, without
 from stratalens.llm.exact_dedup import exact_dedup
@@ -28,14 +27,14 @@ def language_id(spark, docs, sf_dir):
 
 def exact(spark, docs, sf_dir):
     """Of equal texts the row with the largest doc_id stays."""
-    gone = save(exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return without(docs, "doc_id", gone)
+    gone = save(exact_dedup(docs).where("NOT kept").select("doc_id"), "gone")
+    return without(docs, ["doc_id"], gone)
 
 
 def near(spark, docs, sf_dir):
     """Of documents linked by five-word shingles, similarity 0.8 or more, the smallest doc_id stays."""
-    gone = save(minhash_dedup(docs, k=5).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")), "gone")
-    return without(docs, "doc_id", gone)
+    gone = save(minhash_dedup(docs, k=5).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "gone")
+    return without(docs, ["doc_id"], gone)
 
 
 def mixing(spark, docs, sf_dir):

@@ -78,7 +78,7 @@ def bitmap(keys: DataFrame, col: str, n_keys: int) -> tuple[DataFrame, int]:
     return rows.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bitmap")), bits
 
 
-def _tested(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
+def tested_in(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
     """df with _maybe: false for rows whose key is certainly not in the bitmap. No shuffle of df."""
     rows, bits = made
     at = F.pmod(F.xxhash64(col), F.lit(bits))
@@ -89,15 +89,15 @@ def _tested(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
 
 def maybe_in(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
     """Rows whose key may be in the bitmap: every member, and few others."""
-    return _tested(df, col, made).where("_maybe").drop("_maybe")
+    return tested_in(df, col, made).where("_maybe").drop("_maybe")
 
 
-def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """df less the rows whose key is among ids (a stage table with one column). Rows that the bitmap clears stay
-    where they are; only the others are joined."""
-    tested = _tested(df, col, bitmap(ids, ids.columns[0], ids.count()))
-    rest = tested.where("_maybe").join(ids.distinct(), F.col(col) == F.col(ids.columns[0]), "left_anti")
-    return tested.where("NOT _maybe").unionByName(rest).drop("_maybe")
+def without(df: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    """df less the rows whose keys are in gone, a stage table with columns of those names. Rows that a bitmap
+    of the first key clears stay where they are; only the others are joined."""
+    tested = tested_in(df, keys[0], bitmap(gone, keys[0], gone.count()))
+    rest = tested.where("_maybe").join(gone.select(*keys), keys, "left_anti").select(*df.columns)
+    return tested.where("NOT _maybe").select(*df.columns).unionByName(rest)
 
 
 # -- joining rows to groups of which some are very large ------------------------------------

@@ -14,6 +14,7 @@ from .minhash import minhash_dedup
 from .mixing import mix_sources
 from .packing import best_fit_pack
 from .secrets import scan_secrets
+from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,6 +62,11 @@ def op7_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 @query
 def op9_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
