@@ -10,6 +10,7 @@ from stratalens.session import table
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .language_id import identify_language
+from .line_dedup import line_dedup
 from .minhash import minhash_dedup
 from .mixing import mix_sources
 from .packing import best_fit_pack
@@ -47,6 +48,12 @@ def op3_mixing(spark, sf_dir):
     return mixed.select("doc_id", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take").alias("take_tokens"))
 
 
+@query
+def op4_line_dedup(spark, sf_dir):
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents"), k=2)
