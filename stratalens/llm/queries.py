@@ -9,6 +9,7 @@ from stratalens.session import table
 
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .language_id import identify_language
 from .line_dedup import line_dedup
 from .minhash import minhash_dedup
@@ -37,6 +38,11 @@ def mix_levels():
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
+@query
+def op2_html_extraction(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 #: Weights of domains and of the languages in each; sources share equally.
 MIX_WEIGHTS = {("d0",): 0.5, ("d1",): 0.3, ("d2",): 0.2} | {(d, lang): w for d in ("d0", "d1", "d2") for lang, w in (("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2))}
 
