@@ -14,6 +14,9 @@ from .tokens import U64, chunks, mix, words
 #: 24 minhashes serve 36 tables of 4, where independent tables would take 144. At a similarity of 0.8 a
 #: pair shares a band with probability 0.64, so it meets in some table with (1 - 0.36^6)^2 = 0.9956.
 COLLECTION, BAND = 6, 2
+#: Members of one pivot are compared in blocks of at most about this many.
+BLOCK = 512
+MARK = U64(0x5851F42D4C957F2D)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -82,6 +85,59 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _deltas(k: int):
+    """What a member's set has that its pivot's has not, and the other way round, as one sorted array of marked hashes."""
+
+    def run(batches):
+        for batch in batches:
+            pivots, members = (shingle_sets([t or b"" for t in batch.column(c).cast(pa.binary()).to_pylist()], k) for c in (5, 6))
+            delta, base, minus = [], [], []
+            for p, m in zip(pivots, members, strict=True):
+                gone = np.setdiff1d(p, m, assume_unique=True)
+                delta.append(np.sort(np.concatenate((np.setdiff1d(m, p, assume_unique=True), gone ^ MARK))).view(np.int64))
+                base.append(len(p))
+                minus.append(len(gone))
+            flat = np.concatenate(delta) if delta else np.zeros(0, np.int64)
+            ends = np.cumsum([0, *map(len, delta)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in range(5)), pa.array(base, pa.int64()), pa.array(minus, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
+                names=["a", "b", "n", "component", "outside", "base", "minus", "delta"],
+            )
+
+    return run
+
+
+def _link_blocks(percent: int):
+    def run(key, table):
+        """Links of a block of members outside the pivot's component with a block of any members: for each of the
+        former, one link to each component it reaches. Sets share base - minus - minus' + common deltas."""
+        role = table.column("role").to_numpy()
+        b, n, component = (table.column(c).to_numpy() for c in ("b", "n", "component"))
+        base, minus = (table.column(c).to_numpy() for c in ("base", "minus"))
+        lists = table.column("delta").combine_chunks()
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        every, ours = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        owner = np.repeat(np.arange(len(every)), at[every + 1] - at[every])
+        values = np.concatenate([flat[at[i] : at[i + 1]] for i in every]) if len(every) else flat[:0]
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        left, right = [], []
+        for i in ours:
+            own = flat[at[i] : at[i + 1]]
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            size = hi - lo
+            hits = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(own) else lo
+            both = base[i] - minus[i] - minus[every] + np.bincount(owner[hits], minlength=len(every))
+            ok = (100 * both >= percent * (n[i] + n[every] - both)) & (component[every] != component[i])
+            found = every[ok]
+            _, first = np.unique(component[found], return_index=True)
+            left += [b[i]] * len(first)
+            right += b[found[first]].tolist()
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
 def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -92,9 +148,10 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Extra columns are ignored. Rows with a null doc_id stay alone, not kept.
 
     Equal sets are one class from the start. Classes that share a table key meet at the key's smallest
-    member (one pair a member, never all pairs); confirmed links give components. Only then, in keys that
-    still hold several components, members outside the pivot's component are compared with the members
-    of other components. Every link is confirmed on the full sets.
+    member, their pivot: one pair a member, never all pairs; confirmed links give components. Members of a
+    pivot that are outside its component are then compared, in blocks, with all its members, on their
+    full sets held as differences from the pivot's; tasks return one link for each component reached. Any two
+    classes that share a key share its pivot, so none of their links is lost.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = save(src.mapInArrow(_signatures(k), "doc_id long, n long, s1 long, s2 long, low array<int>"), "signatures")
@@ -114,31 +171,31 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     buckets = save(maybe_in(tables, "key", bitmap(met, "key", n_met)).join(met, "key").select("key", "pivot", "rep", "n"), "buckets")
     wanted = save(buckets.select("rep").distinct(), "wanted")
     texts = save(maybe_in(src, "doc_id", bitmap(wanted, "rep", wanted.count())).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    sizes = sets.select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))
-    near = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return save(joined.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
-
-    star = buckets.where("rep <> pivot").select("pivot", "rep", "n").distinct().join(sizes, "pivot").where(near)
-    first = confirm(save(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "pairs"))
+    star = save(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "n").distinct(), "star")
+    sizes = sets.select(F.col("rep").alias("a"), F.col("n").alias("pivot_n"))
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    near = star.join(sizes, "a").where(f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
+    first = save(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
     found = save(components(first), "components")
 
-    # keys that still hold several components
-    own = F.coalesce("component", F.col("rep")).alias("component")
-    placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "pivot", "rep", "n", own)
-    mixed = save(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "rep").alias("main")).where("low <> high").select("key", "main"), "mixed")
-    members = save(maybe_in(placed, "key", bitmap(mixed, "key", mixed.count())).join(mixed, "key"), "members")
-    outside = members.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("pivot_n"), F.col("component").alias("x_component"))
-    cross = members.join(outside, "key").where("component <> x_component AND rep <> pivot AND x <> rep").where("component = main OR rep < x").where(near)
-    pairs = save(cross.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), "pairs")
-    second = confirm(pairs)
+    # groups of a pivot with members outside its component and others to compare them with
+    own = found.select(F.col("node").alias("b"), F.col("component"))
+    main = found.select(F.col("node").alias("a"), F.col("component").alias("main"))
+    placed = star.join(own, "b", "left").join(main, "a", "left").withColumn("component", F.coalesce("component", "b")).withColumn("outside", F.col("component") != F.coalesce("main", "a"))
+    placed = save(placed.select("a", "b", "n", "component", "outside"), "placed")
+    mixed = placed.groupBy("a").agg(F.count("*").alias("members"), F.count_if("outside").alias("others")).where("members > 1 AND others > 0")
+    mixed = save(mixed.select("a", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("outer")), "mixed")
+    both = placed.join(mixed, "a", "left_semi").join(left, "a").join(right, "b").select("a", "b", "n", "component", "outside", "text_a", "text_b")
+    deltas = save(both.mapInArrow(_deltas(k), "a long, b long, n long, component long, outside boolean, base long, minus long, delta array<long>"), "deltas").join(mixed, "a")
+    part = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = deltas.withColumn("role", F.lit(0)).withColumn("x", upto("outer")).withColumn("y", part("blocks"))
+    others = deltas.where("outside").withColumn("role", F.lit(1)).withColumn("x", part("outer")).withColumn("y", upto("blocks"))
+    second = save(members.unionByName(others).groupBy("a", "x", "y").applyInArrow(_link_blocks(percent), "a long, b long"), "links")
     final = save(components(first.union(second)), "components").select(F.col("node").alias("rep"), "component")
 
-    drop(buckets, members, texts)
-    classes = save(sets.select("n", "s1", "s2", "rep", "size").join(final, "rep", "left").select("n", "s1", "s2", "size", own), "classes")
+    drop(buckets, star, placed, texts)
+    classes = save(sets.select("n", "s1", "s2", "rep", "size").join(final, "rep", "left").select("n", "s1", "s2", "size", F.coalesce("component", "rep").alias("component")), "classes")
     out = attach(rows.select("doc_id", "n", "s1", "s2"), classes, ["n", "s1", "s2"], "size", total)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", F.col("doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
