@@ -11,35 +11,47 @@ from .common import attach, bitmap, components, drop, save, tested_in
 STEPS = [1 << k for k in range(30, -1, -1)]
 
 
-def segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of n characters cut into even parts, longer ones last."""
-    short = parts - n % parts
-    base = F.floor(n / parts).cast("int")
-    return (base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1).cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
-
-
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    keys = []
-    for i in range(threshold + 1):
-        start, size = segment(n, i, threshold + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of the substrings in which a line of n characters must match a segment of a line that is 0 to threshold
-    characters shorter. Segment i has at most i edits before it, or else an earlier one matches; and seen from
-    the right at most threshold - i after it."""
-    keys = []
-    for less in range(threshold + 1):
-        other = n - less
-        for i in range(threshold + 1):
-            start, size = segment(other, i, threshold + 1)
-            for off in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
-                at = start + off
-                fits = (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, at, size))))
-    return F.array(*keys)
+#: Letters whose counts are compared before a pair is made: an edit changes at most two counts, by one each.
+LETTERS = "etaoinrs"
+
+
+def letter_counts() -> str:
+    """The counts of LETTERS in a line, modulo 16, four bits each."""
+    return " | ".join(f"shiftleft(cast((n - length(replace(line, '{c}'))) AS int) & 15, {4 * k})" for k, c in enumerate(LETTERS))
+
+
+def counts_differ(a: str, b: str) -> str:
+    """A lower bound of the sum of differences of two packed counts."""
+    return " + ".join(f"least((shiftright({a}, {4 * k}) - shiftright({b}, {4 * k})) & 15, (shiftright({b}, {4 * k}) - shiftright({a}, {4 * k})) & 15)" for k in range(len(LETTERS)))
+
+
+def _keyed(m: str, parts: int, off: str) -> str:
+    """Key of segment i of m characters cut into even parts, longer ones last, read from a line at the segment's
+    start plus off; null where the line does not reach that far."""
+    base, short = f"(({m}) div {parts})", f"({parts} - ({m}) % {parts})"
+    start, size = f"({base} * i + greatest(i - {short}, 0) + 1 + {off})", f"({base} + if(i >= {short}, 1, 0))"
+    return f"if({start} >= 1 AND {start} + {size} - 1 <= n, xxhash64(cast({m} AS int), i, substring(line, cast({start} AS int), cast({size} AS int))), NULL)"
+
+
+def index_keys(classes: DataFrame, threshold: int) -> DataFrame:
+    """(key, id, letters): each line's threshold + 1 segments."""
+    rows = classes.select("id", "line", "n", "letters", F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("i"))
+    return rows.select(F.expr(_keyed("n", threshold + 1, "0")).alias("key"), "id", "letters").where("key IS NOT NULL")
+
+
+def probe_keys(classes: DataFrame, threshold: int) -> DataFrame:
+    """(key, id, letters): the substrings in which a line must match a segment of one that is 0 to threshold characters shorter.
+    Segment i has at most i edits before it, or else an earlier one matches; and seen from the right at most
+    threshold - i after it. The places are rows, so that one small expression serves them all."""
+    places = [
+        (less, i, off)
+        for less in range(threshold + 1)
+        for i in range(threshold + 1)
+        for off in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1)
+    ]
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("less", "i", "off"), p, strict=True)]) for p in places])
+    rows = classes.select("id", "line", "n", "letters", F.inline(listed))
+    return rows.select(F.expr(_keyed("n - less", threshold + 1, "off")).alias("key"), "id", "letters").where("key IS NOT NULL")
 
 
 def _common(a: Column, b: Column, most: Column, cut) -> Column:
@@ -113,13 +125,20 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         suf = _common(s["p"], s["q"], least, lambda t, k: F.right(t, k))
         return F.transform(F.array(F.struct(s["p"].alias("p"), s["q"].alias("q"), suf.alias("suf"))), lambda w: F.struct(F.substring(w["p"], F.lit(1), F.length(w["p"]) - w["suf"]).alias("p"), F.substring(w["q"], F.lit(1), F.length(w["q"]) - w["suf"]).alias("q")))[0]
 
+    def ordered(s: Column) -> Column:
+        """The longer text first. Bound to a variable, as everything below: an expression inside a function is
+        evaluated at each use."""
+        swap = F.length(s["p"]) < F.length(s["q"])
+        return F.struct(F.when(swap, s["q"]).otherwise(s["p"]).alias("p"), F.when(swap, s["p"]).otherwise(s["q"]).alias("q"))
+
     def verdict(s: Column) -> Column:
-        p, q = F.when(F.length(s["p"]) >= F.length(s["q"]), s["p"]).otherwise(s["q"]), F.when(F.length(s["p"]) >= F.length(s["q"]), s["q"]).otherwise(s["p"])
-        # the shorter rest is at most threshold characters: their alignment is decided by the built-in banded recurrence
-        short = F.levenshtein(p, q, threshold) >= 0
-        return F.when(F.length(p) - F.length(q) > threshold, F.lit(False)).when(F.length(q) <= threshold, short).otherwise(distance(F.split(p, ""), F.split(q, "")) <= threshold)
+        chars = F.array(F.struct(F.split(s["p"], "").alias("x"), F.split(s["q"], "").alias("y")))
+        near = F.transform(chars, lambda w: distance(w["x"], w["y"]) <= threshold)[0]
+        # a rest of at most threshold characters: the built-in banded recurrence decides
+        short = F.levenshtein(s["p"], s["q"], threshold) >= 0
+        return F.when(F.length(s["p"]) - F.length(s["q"]) > threshold, F.lit(False)).when(F.length(s["q"]) <= threshold, short).otherwise(near)
 
-    return F.transform(F.transform(F.array(strip(a, b)), tail), verdict)[0]
+    return F.transform(F.transform(F.transform(F.array(strip(a, b)), tail), ordered), verdict)[0]
 
 
 def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +153,7 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_co
 
     Equal lines are one class from the start. A class is cut into threshold + 1 segments; a line within the
     threshold keeps one of them, and the places where it can stand follow from the lengths. Classes that
-    meet on a segment are verified by a banded bit-parallel edit distance.
+    meet on a segment, and whose counts of some letters are near enough, are verified by a banded bit-parallel edit distance.
     """
     id_ = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -143,20 +162,21 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_co
     lines = lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(3), "line"))
     seen = save(lines.select("d", "t1", "no", "h", "g"), "lines")
     classes = save(
-        lines.groupBy("h", "g").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min(F.struct("d", "no")).alias("first")).withColumn("id", F.col("h")),
+        lines.groupBy("h", "g").agg(F.first("line").alias("line"), F.count("*").alias("size"), F.min(F.struct("d", "no")).alias("first")).withColumn("id", F.col("h")),
         "classes",
     )
-    n = F.length("line")
-    index = classes.select(F.explode(index_keys(F.col("line"), n, threshold)).alias("key"), F.col("id").alias("a"))
-    probes = classes.select(F.explode(probe_keys(F.col("line"), n, threshold)).alias("key"), F.col("id").alias("b")).where("key IS NOT NULL")
-    pairs = save(index.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    counted = classes.select("id", "line", F.length("line").alias("n")).withColumn("letters", F.expr(letter_counts()))
+    index = index_keys(counted, threshold).toDF("key", "a", "letters_a")
+    probes = probe_keys(counted, threshold).toDF("key", "b", "letters_b")
+    met = index.join(probes, "key").where("a <> b").where(f"{counts_differ('letters_a', 'letters_b')} <= {2 * threshold}")
+    pairs = save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = save(classes.select("id", "line").join(ids, "id", "left_semi"), "texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     links = save(pairs.join(left, "a").join(right, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b"), "links")
     drop(pairs, texts)
     joined = save(components(links).withColumnRenamed("node", "id"), "components")
-    placed = classes.select("h", "g", "n", "first", "id").join(joined, "id", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", F.col("id")))
+    placed = classes.select("h", "g", F.col("size").alias("n"), "first", "id").join(joined, "id", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", F.col("id")))
     firsts = placed.groupBy("component").agg(F.min("first").alias("stays"))
     groups = save(placed.where("n > 1 OR linked").join(firsts, "component").select("h", "g", "n", "linked", F.col("stays.d").alias("d0"), F.col("stays.no").alias("no0")), "groups")
     drop(classes)
