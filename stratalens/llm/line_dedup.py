@@ -22,7 +22,9 @@ def letter_counts() -> str:
 
 def counts_differ(a: str, b: str) -> str:
     """A lower bound of the sum of differences of two packed counts."""
-    return " + ".join(f"least((shiftright({a}, {4 * k}) - shiftright({b}, {4 * k})) & 15, (shiftright({b}, {4 * k}) - shiftright({a}, {4 * k})) & 15)" for k in range(len(LETTERS)))
+    nibble = lambda x, k: f"(shiftright({x}, {4 * k}) & 15)"
+    apart = lambda x, y, k: f"(({nibble(x, k)} - {nibble(y, k)}) & 15)"
+    return " + ".join(f"least({apart(a, b, k)}, {apart(b, a, k)})" for k in range(len(LETTERS)))
 
 
 def _keyed(m: str, parts: int, off: str) -> str:

@@ -179,6 +179,15 @@ def test_lines(spark):
     assert lines.line_dedup(frame(spark, []).limit(0)).count() == 0
 
 
+def test_letter_counts_wrap(spark):
+    """Counts beyond 15, and with the highest bit set, are compared without overflow."""
+    rows = [("s" * 9 + "x" * 30, "s" * 30 + "x" * 9), ("ssss" * 40 + "e", "ssss" * 40 + "ea"), ("r" * 8 + "s" * 8, "q" * 16)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    packed = lambda c: lines.letter_counts().replace("line", c).replace("(n -", f"(length({c}) -")
+    got = df.selectExpr(f"{packed('x')} AS a", f"{packed('y')} AS b").selectExpr(f"{lines.counts_differ('a', 'b')} AS d").collect()
+    assert [r.d for r in got] == [5, 1, 16]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
