@@ -186,3 +186,60 @@ def imports(corpus: DataFrame) -> DataFrame:
         hit = F.concat(F.regexp_extract("line", pattern, 1), F.regexp_extract("line", pattern, 2))
         module = F.when((F.col("lang") == name) & (hit != ""), hit).otherwise(module)
     return lines.select("path", (F.col("at") + 1).alias("line_no"), "lang", module.alias("module")).where("module IS NOT NULL")
+
+
+# What marks a file as vendored, generated or minified, and the tokens of control flow.
+NOISE = r"(^|/)(vendor|third_party|node_modules|dist|build|generated)/|\.min\.|\.pb\.|_pb2\.|(^|/)tests?/"
+CONTROL = r"\b(if|else|for|while|do|switch|case|try|catch|except|return|break|continue|throw|raise)\b"
+DYNAMIC = r"""\b(?:dlopen|LoadLibrary[AW]?|import|__import__|importlib\.import_module|require)\s*\(\s*([^)]*)\)"""
+
+
+def is_noise(path: Column, content: Column) -> Column:
+    """Vendored, generated, minified or test files, by path or by lines too long to be written by hand."""
+    mean = F.length(content) / F.size(F.split(content, "\n", -1))
+    return path.rlike(NOISE) | F.coalesce(mean > 300, F.lit(False)) | F.coalesce(F.contains(F.substring(content, 1, 400), F.lit("DO NOT EDIT")), F.lit(False))
+
+
+def is_opaque(name: Column) -> Column:
+    """Names that say nothing: one or two characters, or letters with digits as minifiers make them."""
+    return (F.length(name) <= 2) | name.rlike(r"^[a-zA-Z]{1,2}[0-9]+$|^_0x[0-9a-f]+$")
+
+
+def code_lines(body: Column) -> Column:
+    """Lines left when comments are gone, without blank ones."""
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?\*/", ""), r"(?m)(//|#(?!include|define|if|endif|pragma)).*$", "")
+    return F.size(F.filter(F.split(bare, "\n"), lambda s: F.trim(s) != ""))
+
+
+def tight_structure(body: Column) -> Column:
+    """Structure with runs of three or more equal statements as one; null below three control-flow tokens."""
+    squeezed = F.regexp_replace(structure(body), r"([^;{}]+[;{}])(?:\s*\1){2,}", "$1+")
+    return F.when(F.regexp_count(body, F.lit(CONTROL)) >= 3, squeezed)
+
+
+def comments(corpus: DataFrame) -> DataFrame:
+    """(path, kind, text) of block and line comments."""
+    found = [
+        corpus.select("path", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("text"))
+        for kind, pattern in (("block", r"(?s)/\*(.*?)\*/"), ("line", r"(?m)(?:^|\s)//[ \t]*([^\n]*)$"), ("hash", r"(?m)(?:^|\s)#[ \t]+([^\n]*)$"))
+    ]
+    return found[0].union(found[1]).union(found[2]).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+
+
+def dynamic_loads(corpus: DataFrame) -> DataFrame:
+    """(path, target, literal): run-time loads, and whether their target is a literal."""
+    hit = corpus.select("path", F.explode(F.regexp_extract_all("content", F.lit(DYNAMIC), F.lit(1))).alias("target"))
+    return hit.withColumn("literal", F.col("target").rlike("""^\\s*['"][^'"]*['"]\\s*(,.*)?$"""))
+
+
+def word_holes(body: Column) -> Column:
+    """Tokens of a body as structs of text and whether it is a word (a hole) or structure."""
+    return F.transform(F.regexp_extract_all(body, F.lit(r"[A-Za-z_]\w*|\d[\w.]*|\S"), F.lit(0)), lambda t: F.struct(t.alias("text"), (t.rlike(r"^[A-Za-z_\d]") & ~t.isin(KEYWORDS)).alias("hole")))
+
+
+def substitutions(a: Column, b: Column) -> Column:
+    """Where two bodies of one structure differ: pairs of words, null if their structures do not align."""
+    x, y = word_holes(a), word_holes(b)
+    shape = lambda v: F.transform(v, lambda t: F.when(t["hole"], F.lit("_")).otherwise(t["text"]))
+    pairs = F.filter(F.zip_with(x, y, lambda p, q: F.struct(p["text"].alias("a"), q["text"].alias("b"))), lambda s: s["a"] != s["b"])
+    return F.when(shape(x) == shape(y), F.array_distinct(pairs))

@@ -43,3 +43,27 @@ def test_imports(spark):
     assert resolved["app/main.py", "util.text"] == "util/text.py"
     assert resolved["app/main.py", "os"] is None
     assert len(FIXTURE) == 9
+
+
+def test_scalars_of_code(spark):
+    from pyspark.sql import functions as F
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    lit = F.lit
+    assert value(code.is_noise(lit("a/vendor/x.c"), lit("int a;"))) and not value(code.is_noise(lit("a/x.c"), lit("int a;")))
+    assert value(code.is_noise(lit("x.js"), lit("a" * 1000))) and value(code.is_noise(lit("x.go"), lit("// DO NOT EDIT")))
+    assert value(code.is_opaque(lit("a1"))) and not value(code.is_opaque(lit("parse")))
+    assert value(code.code_lines(lit("a;\n\n// no\n/* x\n y */\nb; // c\n"))) == 2
+    assert value(code.tight_structure(lit("a;"))) is None
+    body = "if (a) { x(); } else { for (;;) { y(1); y(2); y(3); y(4); } }"
+    assert value(code.tight_structure(lit(body))).count("_(0);") == 1
+    subs = value(code.substitutions(lit("return add(a, 1);"), lit("return sub(b, 1);")))
+    assert [(s.a, s.b) for s in subs] == [("add", "sub"), ("a", "b")]
+    assert value(code.substitutions(lit("return add(a);"), lit("return add(a, b);"))) is None
+
+
+def test_comments_and_loads(spark):
+    df = spark.createDataFrame([("a.c", "/* block\n one */ int a; // line\n"), ("b.py", "# hash\nimportlib.import_module('os')\n__import__(name)\n"), ("c", None)], "path string, content string")
+    assert {(r.kind, r.text) for r in code.comments(df).collect()} == {("block", "block one"), ("line", "line"), ("hash", "hash")}
+    assert {(r.target, r.literal) for r in code.dynamic_loads(df).collect()} == {("'os'", True), ("name", False)}
