@@ -15,7 +15,7 @@ from .tokens import chunks
 
 UND = "und"
 PROFILE = 400  # most frequent n-grams kept of a language and of a document
-CHUNK = 1 << 20  # characters counted at once: about 150 bytes of memory each
+CHUNK = 1 << 19  # characters counted at once: about 150 bytes of memory each
 LONGEST = 3  # n-grams of 1 to 3 characters; words are padded with one blank on either side
 
 
@@ -83,7 +83,7 @@ def _count(batches):
 
     for batch in batches:
         texts, langs = (batch.column(c).to_pylist() for c in (0, 1))
-        for a, b in chunks(texts, 2 * CHUNK):
+        for a, b in chunks(texts, CHUNK):
             doc, code, alphabet = grams(texts[a:b])
             own = sorted(set(langs[a:b]))
             which = np.array([own.index(x) for x in langs[a:b]], np.int64)
