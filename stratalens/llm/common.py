@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -23,17 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet stage table in the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalens-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stage = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where.getParent(), True)

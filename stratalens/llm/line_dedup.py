@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bitmap, components, drop, save, tested_in
+from .common import attach, bitmap, components, drop, release, save, tested_in
 
 #: Steps of the search for a common prefix or suffix: no line has 2^31 characters.
 STEPS = [1 << k for k in range(30, -1, -1)]
@@ -166,12 +166,15 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_co
     classes = save(
         lines.groupBy("h", "g").agg(F.first("line").alias("line"), F.count("*").alias("size"), F.min(F.struct("d", "no")).alias("first")).withColumn("id", F.col("h")),
         "classes",
+        compression="zstd",
     )
+    release(docs.sparkSession)
     counted = classes.select("id", "line", F.length("line").alias("n")).withColumn("letters", F.expr(letter_counts()))
     index = index_keys(counted, threshold).toDF("key", "a", "letters_a")
     probes = probe_keys(counted, threshold).toDF("key", "b", "letters_b")
     met = index.join(probes, "key").where("a <> b").where(f"{counts_differ('letters_a', 'letters_b')} <= {2 * threshold}")
     pairs = save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    release(docs.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = save(classes.select("id", "line").join(ids, "id", "left_semi"), "texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
