@@ -53,9 +53,16 @@ def _minhash(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _slices(batches, rows: int = 1000):
+    """Batches in parts, so that a task holds the sets of few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _signatures(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sets = shingle_sets(texts, k)
             sums = [np.array([(mix(s ^ U64(c))).sum(dtype=U64) for s in sets], U64).view(np.int64) for c in (11, 77)]
@@ -75,7 +82,7 @@ def _signatures(k: int):
 
 def _confirm(k: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             left, right = (shingle_sets([t or b"" for t in batch.column(c).cast(pa.binary()).to_pylist()], k) for c in (2, 3))
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
             every = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - both
@@ -89,7 +96,7 @@ def _deltas(k: int):
     """What a member's set has that its pivot's has not, and the other way round, as one sorted array of marked hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             pivots, members = (shingle_sets([t or b"" for t in batch.column(c).cast(pa.binary()).to_pylist()], k) for c in (5, 6))
             delta, base, minus = [], [], []
             for p, m in zip(pivots, members, strict=True):

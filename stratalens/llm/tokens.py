@@ -58,7 +58,7 @@ def words(texts: list[bytes], lower: bool = False, seeds: tuple[int, ...] = (1,)
     return [mix(np.add.reduceat(_byte_table(lower, s)[body] * scale, starts - starts[0])) for s in seeds], per
 
 
-def chunks(texts: list[bytes], limit: int = 4 << 20):
+def chunks(texts: list[bytes], limit: int = 1 << 20):
     """(first, last) index ranges whose texts hold about limit bytes; a longer text is a range of its own."""
     first = held = 0
     for k, t in enumerate(texts):
@@ -199,7 +199,7 @@ class WordBPE:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a full cache keeps only words that have just come again."""
         out = []
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 4 << 20):
             split = [t.split() for t in texts[a:b]]
             every = set().union(*split)
             missing = every.difference(self.cache)
