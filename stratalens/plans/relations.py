@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -338,21 +340,131 @@ def symbol_search(spark, sf_dir):
 UNIT = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS q_id, e AS q, label AS q_label FROM v WHERE vec_id < 5), c AS (SELECT q_id, q_label, vec_id, label, round(list_cosine_similarity(q, e), 6) AS cos FROM q, v WHERE q_id <> vec_id)"
 
 
-def _cosines(spark, sf_dir):
-    """Cosine of each vector with five query vectors: the queries are five rows, so every vector is read once and nothing is shuffled."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("e").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    j = v.join(F.broadcast(q), F.col("q_id") != F.col("vec_id"))
-    return j.select("q_id", "q_label", "vec_id", "label", F.round(dot / (norm("q") * norm("e")), 6).alias("cos"))
+#: Queries and vectors of one cell of the comparison.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+
+
+def _cosine_cell(reduce):
+    def run(cell: pa.Table) -> pa.Table:
+        """Cosines of one block of queries with one block of vectors, reduced to what the query needs. Null where a
+        vector or one of its components is, or where dimensions differ; NaN with a zero vector."""
+        ids, is_query = cell.column("vec_id").to_numpy(), cell.column("is_query").to_numpy()
+        held = cell.column("e").to_pylist()
+        dims = np.array([-1 if e is None or None in e else len(e) for e in held], np.int64)
+        q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        cos, null = np.full((len(q), len(v)), np.nan), np.ones((len(q), len(v)), bool)
+        for d in set(dims[q].tolist()) - {-1}:
+            i, j = np.flatnonzero(dims[q] == d), np.flatnonzero(dims[v] == d)
+            x, y = (np.array([held[k] for k in rows], np.float64).reshape(len(rows), d) for rows in (q[i], v[j]))
+            with np.errstate(all="ignore"):
+                cos[np.ix_(i, j)] = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)), 6) + 0.0
+            null[np.ix_(i, j)] = False
+        apart = ids[q][:, None] != ids[v]
+        labels = cell.column("label").combine_chunks()
+        return reduce(ids[q], labels.take(pa.array(q)), ids[v], labels.take(pa.array(v)), cos, null, apart)
+
+    return run
+
+
+def _by_cell(spark, sf_dir, reduce, schema: str):
+    """Each vector whose id is divisible by 100 is a query against all other vectors. Both sides are dealt into blocks by
+    id; a task compares one block of queries with one of vectors, so that either may grow."""
+    v = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    query_ = F.col("vec_id") % 100 == 0
+    n, m = v.agg(F.count("*"), F.count_if(query_)).first()
+    q_blocks, v_blocks = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // VECTOR_BLOCK))
+    own = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = v.where(query_).select("*", F.lit(True).alias("is_query"), own(q_blocks).alias("q_block"), each(v_blocks).alias("v_block"))
+    right = v.select("*", F.lit(False).alias("is_query"), each(q_blocks).alias("q_block"), own(v_blocks).alias("v_block"))
+    return left.union(right).groupBy("q_block", "v_block").applyInArrow(_cosine_cell(reduce), schema.format(label=v.schema["label"].dataType.simpleString()))
+
+
+def _first(k: int):
+    def reduce(q, q_labels, v, labels, cos, null, apart):
+        """The first k of each query within the cell, by cosine and then id; worthy counts all that share its label."""
+        order = np.where(null, -np.inf, np.where(np.isnan(cos), np.inf, cos))
+        q_labels, labels = q_labels.to_pylist(), labels.to_pylist()
+        same = np.array([[x is not None and x == y for y in labels] for x in q_labels], bool).reshape(cos.shape)
+        out = {"q_id": [], "vec_id": [], "cos": [], "same": [], "worthy": []}
+        for i in range(len(q)):
+            j = np.flatnonzero(apart[i])
+            worthy = int(same[i, j].sum())
+            j = j[np.lexsort((v[j], -order[i, j]))[:k]]
+            out["q_id"] += [int(q[i])] * len(j)
+            out["vec_id"] += v[j].tolist()
+            out["cos"] += [None if lost else c for c, lost in zip(cos[i, j].tolist(), null[i, j].tolist(), strict=True)]
+            out["same"] += same[i, j].tolist()
+            out["worthy"] += [worthy] + [0] * (len(j) - 1) if len(j) else []
+        return pa.table(out, schema=pa.schema([("q_id", pa.int64()), ("vec_id", pa.int64()), ("cos", pa.float64()), ("same", pa.bool_()), ("worthy", pa.int64())]))
+
+    return reduce
+
+
+def _ranked(spark, sf_dir, k: int):
+    """The first k vectors of each query with their rank, out of the first k of each cell."""
+    w = Window.partitionBy("q_id").orderBy(F.desc("cos"), "vec_id")
+    return _by_cell(spark, sf_dir, _first(k), "q_id long, vec_id long, cos double, same boolean, worthy long").withColumn("rank", F.row_number().over(w))
+
+
+def _whole(q, q_labels, v, labels, cos, null, apart):
+    """All cosines of each query, one row a cell."""
+    kept = apart & ~null
+    starts = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(starts), pa.array(x))
+    seen = np.flatnonzero(apart.any(axis=1))
+    return pa.table({"q_id": q, "vec_id": lists(np.broadcast_to(v, cos.shape)[kept]), "cos": lists(cos[kept])}).take(pa.array(seen))
+
+
+def _spread(table_: pa.Table):
+    """Ids and cosines of one query, their greatest (NaN is) and their median; None without any."""
+    ids, cos = (np.concatenate([np.asarray(x.values, dtype) for x in table_.column(c)] or [[]]) for c, dtype in (("vec_id", np.int64), ("cos", np.float64)))
+    s = np.sort(cos)
+    if not len(s):
+        return ids, cos, None, None
+    low, high = s[(len(s) - 1) // 2], s[len(s) // 2]
+    return ids, cos, s[-1], low + (high - low) * 0.5
+
+
+def _tiers(t: pa.Table) -> pa.Table:
+    ids, cos, best, mid = _spread(t)
+    if best is None:
+        return pa.table({"q_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "tier": pa.array([], pa.string())})
+    # NaN is greater than any number, as in SQL
+    least = lambda share: best - share * (best - mid if not best - mid <= 0 else 0.0)
+    over = lambda c, at: np.isnan(c) | (c >= at)
+    near = over(cos, least(0.35))
+    tiers = np.where(over(cos[near], least(0.15)), "hit", "near")
+    return pa.table({"q_id": pa.array([t.column("q_id")[0].as_py()] * len(tiers), pa.int64()), "vec_id": pa.array(ids[near], pa.int64()), "tier": pa.array(tiers.tolist(), pa.string())})
+
+
+def _margin(t: pa.Table) -> pa.Table:
+    _, _, best, mid = _spread(t)
+    return pa.table({"q_id": t.column("q_id")[:1].cast(pa.int64()), "median": pa.array([mid], pa.float64()), "margin": pa.array([None if best is None else best - mid], pa.float64())})
+
+
+def _labels(q, q_labels, v, labels, cos, null, apart):
+    """Sum, count and greatest of each query's cosines by label within the cell."""
+    codes = labels.dictionary_encode(null_encoding="encode")
+    code, names = codes.indices.to_numpy(), codes.dictionary
+    out = []
+    for k in range(len(names)):
+        of = apart & (code == k)
+        rows = np.flatnonzero(of.any(axis=1))
+        known = (of & ~null)[rows]
+        n = known.sum(axis=1)
+        top = np.where(known, np.where(np.isnan(cos[rows]), np.inf, cos[rows]), -np.inf).max(axis=1, initial=-np.inf)
+        top = np.where(np.isinf(top), np.nan, top)
+        total = np.where(known, cos[rows], 0.0).sum(axis=1)
+        out.append(pa.table({"q_id": q[rows], "label": names.take(pa.array([k] * len(rows), pa.int32())), "total": total, "n": n.astype(np.int64), "best": pa.array(top, mask=n == 0)}))
+    empty = pa.table({"q_id": q[:0], "label": names.slice(0, 0), "total": cos[:0, :0].ravel(), "n": np.zeros(0, np.int64), "best": cos[:0, :0].ravel()})
+    return pa.concat_tables([*out, empty])
 
 
 @query("cosine_topk", f"WITH {UNIT} SELECT q_id, vec_id, cos FROM c QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) <= 10")
 def cosine_topk(spark, sf_dir):
     """The ten nearest vectors of each query."""
-    w = Window.partitionBy("q_id").orderBy(F.desc("cos"), "vec_id")
-    return _cosines(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 10").select("q_id", "vec_id", "cos")
+    return _ranked(spark, sf_dir, 10).where("rank <= 10").select("q_id", "vec_id", "cos")
 
 
 @query(
@@ -362,17 +474,14 @@ def cosine_topk(spark, sf_dir):
 )
 def semantic_tiers(spark, sf_dir):
     """Hits and near hits by their distance from the best, in units of best less median."""
-    c = _cosines(spark, sf_dir)
-    s = c.groupBy("q_id").agg(F.max("cos").alias("best"), F.median("cos").alias("mid"))
-    j = c.join(F.broadcast(s), "q_id").withColumn("spread", F.greatest(F.lit(0.0), F.col("best") - F.col("mid")))
-    near = j.where(F.col("cos") >= F.col("best") - 0.35 * F.col("spread"))
-    return near.select("q_id", "vec_id", F.when(F.col("cos") >= F.col("best") - 0.15 * F.col("spread"), "hit").otherwise("near").alias("tier"))
+    return _by_cell(spark, sf_dir, _whole, "q_id long, vec_id array<long>, cos array<double>").groupBy("q_id").applyInArrow(_tiers, "q_id long, vec_id long, tier string")
 
 
 @query("listing_margin", f"WITH {UNIT} SELECT q_id, round(median(cos), 6) AS median, round(max(cos) - median(cos), 6) AS margin FROM c GROUP BY q_id")
 def listing_margin(spark, sf_dir):
     """Median cosine, and how far the best is above it."""
-    return _cosines(spark, sf_dir).groupBy("q_id").agg(F.round(F.median("cos"), 6).alias("median"), F.round(F.max("cos") - F.median("cos"), 6).alias("margin"))
+    each = _by_cell(spark, sf_dir, _whole, "q_id long, vec_id array<long>, cos array<double>").groupBy("q_id").applyInArrow(_margin, "q_id long, median double, margin double")
+    return each.select("q_id", F.round("median", 6).alias("median"), F.round("margin", 6).alias("margin"))
 
 
 @query(
@@ -382,7 +491,10 @@ def listing_margin(spark, sf_dir):
 )
 def fused_rank(spark, sf_dir):
     """Groups by 0.3 of their mean and 0.7 of their best member."""
-    f = _cosines(spark, sf_dir).groupBy("q_id", "label").agg(F.round(F.avg("cos"), 6).alias("a"), F.max("cos").alias("b")).select("q_id", "label", F.round(0.3 * F.col("a") + 0.7 * F.col("b"), 6).alias("score"))
+    c = _by_cell(spark, sf_dir, _labels, "q_id long, label {label}, total double, n long, best double")
+    # scores of seven decimals are often halfway: rounded as DuckDB does, on the scaled double
+    mean = F.round(F.try_divide(F.sum("total"), F.sum("n")), 6)
+    f = c.groupBy("q_id", "label").agg(mean.alias("a"), F.max("best").alias("b")).select("q_id", "label", (F.round((0.3 * F.col("a") + 0.7 * F.col("b")) * 1e6) / 1e6).alias("score"))
     return f.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "label")))
 
 
@@ -393,8 +505,7 @@ def fused_rank(spark, sf_dir):
 )
 def across_elements(spark, sf_dir):
     """How many queries place a vector among their first 25, and its mean there."""
-    w = Window.partitionBy("q_id").orderBy(F.desc("cos"), "vec_id")
-    r = _cosines(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 25")
+    r = _ranked(spark, sf_dir, 25).where("rank <= 25")
     return r.groupBy("vec_id").agg(F.count("*").alias("places"), F.round(F.avg("cos"), 6).alias("mean"))
 
 
@@ -405,9 +516,7 @@ def across_elements(spark, sf_dir):
 )
 def recall_at_k(spark, sf_dir):
     """Worthy rows among the first 25; null without any."""
-    w = Window.partitionBy("q_id").orderBy(F.desc("cos"), "vec_id")
-    r = _cosines(spark, sf_dir).select("q_id", (F.col("q_label") == F.col("label")).alias("worthy"), F.row_number().over(w).alias("rank"))
-    return r.groupBy("q_id").agg(F.round(F.try_divide(F.count_if(F.col("worthy") & (F.col("rank") <= 25)), F.count_if("worthy")), 6).alias("recall"))
+    return _ranked(spark, sf_dir, 25).groupBy("q_id").agg(F.round(F.try_divide(F.count_if(F.col("same") & (F.col("rank") <= 25)), F.sum("worthy")), 6).alias("recall"))
 
 
 @query(
