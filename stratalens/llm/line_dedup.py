@@ -149,7 +149,8 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_co
     Lines are what newlines separate. Lines of least_chars characters or more are linked when their edit
     distance is at most threshold; of each group of linked or equal lines, the first (smallest doc_id,
     then line) stays and the others are removed. n_linked counts the document's lines that have a link to
-    a different text. Shorter lines stay. A null text is one empty line; rows that repeat a doc_id and
+    a different text. Shorter lines are grouped only where equal, as two edits make different words of
+    them; empty lines stay. A null text is one empty line; rows that repeat a doc_id and
     text count as one document; null ids come first; other columns are ignored; an empty table gives an
     empty result.
 
@@ -160,7 +161,7 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_co
     id_ = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(-(1 << 63))).alias("d"), text.alias("text"), F.xxhash64(text).alias("t1"))
-    lines = src.select("d", "t1", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= least_chars)
+    lines = src.select("d", "t1", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") > 0)
     lines = lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(3), "line"))
     seen = save(lines.select("d", "t1", "no", "h", "g"), "lines")
     classes = save(
@@ -169,7 +170,7 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20, id_co
         compression="zstd",
     )
     release(docs.sparkSession)
-    counted = classes.select("id", "line", F.length("line").alias("n")).withColumn("letters", F.expr(letter_counts()))
+    counted = classes.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= least_chars).withColumn("letters", F.expr(letter_counts()))
     index = index_keys(counted, threshold).toDF("key", "a", "letters_a")
     probes = probe_keys(counted, threshold).toDF("key", "b", "letters_b")
     met = index.join(probes, "key").where("a <> b").where(f"{counts_differ('letters_a', 'letters_b')} <= {2 * threshold}")

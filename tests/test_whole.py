@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, rows
 
+from stratalens.llm.line_dedup import line_dedup
 from stratalens.plans import registry, relations
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -23,3 +24,29 @@ def test_every_hundredth_vector_is_a_query(spark, monkeypatch, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_equal_lines_of_any_length(spark):
+    """Equal lines are one group from one character on; edit links need 20."""
+    texts = ["a\nb\n\na", "short line\nb\n" + "x" * 30, "short lime\nshort line\n" + "x" * 29 + "y", "\n\nunique", " \n \n" + "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_linked, r.n_removed, r.kept_text) for r in line_dedup(docs).collect()}
+    assert got == {
+        0: (4, 0, 1, "a\nb\n"),
+        1: (3, 1, 1, "short line\n" + "x" * 30),
+        2: (3, 1, 2, "short lime"),
+        3: (3, 0, 0, "\n\nunique"),
+        4: (3, 0, 1, " \né"),
+    }
+
+
+@needs_tables
+def test_equal_lines_of_the_tables(spark):
+    """Against the same links in Python: only the first of equal lines under 20 characters is kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, want = set(), {}
+    for i, t in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        kept = [x for x in t.split("\n") if len(x) < 20 and not (x in seen and x) and not seen.add(x)]
+        want[i] = kept
+    got = {r.doc_id: [x for x in r.kept_text.split("\n") if len(x) < 20] for r in line_dedup(docs).collect()}
+    assert {i for i in want if [x for x in want[i] if x] != [x for x in got[i] if x]} == set()
