@@ -254,6 +254,10 @@ def near_dupe_groups(spark, sf_dir):
     return g.withColumn("weight", F.col("n") * F.col("size"))
 
 
+#: Sets of one token that meet as many others in a task.
+TOKEN_BLOCK = 256
+
+
 @query(
     "token_fingerprint_pairs",
     """WITH t AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS tok FROM lineitem), s AS (SELECT a, count(*) AS n FROM t GROUP BY a),
@@ -263,15 +267,29 @@ def near_dupe_groups(spark, sf_dir):
        SELECT a, b, shared, score FROM j WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 3""",
 )
 def token_fingerprint_pairs(spark, sf_dir):
-    """Pairs that share rare tokens, by Jaccard similarity, the best three of each. A token in more than 25 sets
-    pairs nothing, which is the operator's definition and bounds the join."""
+    """Pairs of sets at a Jaccard similarity of 0.2 or more, the best three of each. Candidates meet on a prefix of
+    their tokens, the rare ones first: of n tokens, two such sets share one of the first n - ceil(0.2 n) + 1. Tokens in
+    more than TOKEN_BLOCK sets are dealt into blocks, and each two blocks meet in a task. Whole sets decide."""
     t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("tok")).distinct()
-    sizes = t.groupBy("a").agg(F.count("*").alias("n"))
-    rare = t.groupBy("tok").agg(F.count("*").alias("df")).where("df <= 25").select("tok")
-    own = t.join(rare, "tok")
-    p = own.join(own.withColumnRenamed("a", "b"), "tok").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = p.join(sizes, "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
-    j = j.withColumn("score", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6)).where("score >= 0.2")
+    known = t.where("tok IS NOT NULL")
+    df = known.groupBy("tok").agg(F.count("*").alias("df"))
+    # a null token counts in the size and matches nothing
+    sizes = t.where("a IS NOT NULL").groupBy("a").agg(F.count("*").alias("n"))
+    sets = known.join(df, "tok").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s")).join(sizes, "a")
+    # scores are rounded to six digits before they meet the threshold
+    first = (F.col("n") - F.ceil(F.col("n") * 0.1999995) + 1).cast("int")
+    rows = sets.select("a", "n", F.col("s.tok").alias("toks"), F.inline(F.slice("s", F.lit(1), first)))
+    blocks = F.ceil(F.col("df") / TOKEN_BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "n", "toks")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    shared = F.size(F.array_intersect("x.toks", "y.toks"))
+    score = F.round(shared / (F.col("x.n") + F.col("y.n") - shared), 6)
+    met = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    # two of one block meet only where both blocks are theirs
+    once = (F.col("x.own") != F.col("y.own")) | (F.col("x.i") == F.col("x.j"))
+    p = x.join(y, met & (F.col("x.a") < F.col("y.a")) & once & (score >= 0.2))
+    j = p.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), shared.cast("long").alias("shared"), score.alias("score")).distinct()
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return j.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared", "score")
 

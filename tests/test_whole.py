@@ -7,7 +7,7 @@ import pytest
 from test_queries import SF, rows
 
 from stratalens.llm.line_dedup import line_dedup
-from stratalens.plans import registry, relations
+from stratalens.plans import analytics, registry, relations
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
@@ -50,3 +50,15 @@ def test_equal_lines_of_the_tables(spark):
         want[i] = kept
     got = {r.doc_id: [x for x in r.kept_text.split("\n") if len(x) < 20] for r in line_dedup(docs).collect()}
     assert {i for i in want if [x for x in want[i] if x] != [x for x in got[i] if x]} == set()
+
+
+@needs_tables
+@pytest.mark.parametrize("block", [8, 256])
+def test_pairs_of_all_tokens(spark, monkeypatch, block):
+    monkeypatch.setattr(analytics, "TOKEN_BLOCK", block)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert registry.ORACLES["token_fingerprint_pairs"].count(" HAVING count(*) <= 25") == 1
+    want = duck.sql(registry.ORACLES["token_fingerprint_pairs"].replace(" HAVING count(*) <= 25", "")).df()
+    got = registry.QUERIES["token_fingerprint_pairs"](spark, SF).toPandas()
+    assert rows(got) == rows(want)
