@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -294,6 +296,48 @@ def token_fingerprint_pairs(spark, sf_dir):
     return j.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared", "score")
 
 
+#: Members of a group that meet as many others in a task.
+MEMBER_BLOCK = 2048
+
+
+def _surprise(cell: pa.Table) -> pa.Table:
+    """Peak, sum and number of scores, and number of pairs, of two blocks of a group's members or of one with itself."""
+    ids, own = cell.column("id").to_numpy(), cell.column("own").to_numpy()
+    first, second = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    toks = cell.column("toks").to_pylist()
+    named = np.array([t is not None for t in toks])
+    code: dict = {}
+    shown = [[code.setdefault(w, len(code)) for w in t or ()] for t in toks]
+    has = np.zeros((len(toks), max(1, len(code))), np.float32)
+    for k, t in enumerate(shown):
+        has[k, t] = 1
+    count = has.sum(axis=1)
+    left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    # codes of the values; a null differs from all
+    same = {}
+    for c in ("dir", "size"):
+        v = cell.column(c).combine_chunks().dictionary_encode()
+        same[c] = (v.indices.fill_null(-1).to_numpy(), v.indices.is_valid().to_numpy(zero_copy_only=False))
+    peak, total, n, pairs = None, 0.0, 0, 0
+    for k in range(0, len(left), 256):
+        a = left[k : k + 256]
+        ok = ids[a][:, None] < ids[right]
+        if first != second:
+            ok = ids[a][:, None] != ids[right]
+        pairs += int(ok.sum())
+        ok &= named[a][:, None] & named[right]
+        both = (has[a] @ has[right].T).astype(np.float64)
+        with np.errstate(all="ignore"):
+            v = np.round(0.5 * (1 - both / (count[a][:, None] + count[right] - both)), 6)
+        for c, weight in (("dir", 0.35), ("size", 0.15)):
+            x, known = same[c]
+            v = v + np.where((x[a][:, None] == x[right]) & known[a][:, None] & known[right], 0.0, weight)
+        v = v[ok]
+        if len(v):
+            peak, total, n = max(float(v.max()), peak or 0.0), total + float(v.sum()), n + len(v)
+    return pa.table({"grp": cell.column("grp")[:1], "peak": pa.array([peak], pa.float64()), "total": [total], "n": pa.array([n], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
+
+
 @query(
     "surprise_pairs",
     """WITH p AS (SELECT p_partkey AS id, p_type AS grp, p_brand AS dir, p_size, list_distinct(string_split(lower(p_name), ' ')) AS toks FROM part WHERE p_retailprice > 0),
@@ -305,18 +349,16 @@ def token_fingerprint_pairs(spark, sf_dir):
        HAVING max(name_part + path_part + ext_part) >= 0.5""",
 )
 def surprise_pairs(spark, sf_dir):
-    """Groups whose members differ in name, place and kind; at most ten members of a group are paired (45 pairs, the operator's own sample)."""
-    part = table(spark, sf_dir, "part").where("p_retailprice > 0")
-    w = Window.partitionBy("p_type").orderBy("p_partkey")
-    s = part.withColumn("r", F.row_number().over(w)).where("r <= 10").select(
-        F.col("p_type").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("dir"), "p_size", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("toks")
-    )
-    x, y = s.alias("x"), s.alias("y")
-    both = F.size(F.array_intersect("x.toks", "y.toks"))
-    name = F.round(0.5 * (1 - both / (F.size("x.toks") + F.size("y.toks") - both)), 6)
-    score = name + F.when(F.col("x.dir") == F.col("y.dir"), 0.0).otherwise(0.35) + F.when(F.col("x.p_size") == F.col("y.p_size"), 0.0).otherwise(0.15)
-    j = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.grp").alias("grp"), score.alias("v"))
-    return j.groupBy("grp").agg(F.round(F.max("v"), 6).alias("peak"), F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("pairs")).where("peak >= 0.5")
+    """Groups whose members differ in name, place and kind, over all pairs of a group. The reference looks at 50 pairs of a
+    group; here its members are dealt into blocks, and each two blocks are compared in a task that returns one row."""
+    part = table(spark, sf_dir, "part").where("p_retailprice > 0 AND p_type IS NOT NULL AND p_partkey IS NOT NULL")
+    s = part.select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("dir"), F.col("p_size").alias("size"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("toks"))
+    blocks = s.groupBy("grp").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("blocks"))
+    dealt = s.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", "id", "dir", "size", "toks", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cells = dealt.groupBy("grp", "i", "j").applyInArrow(_surprise, "grp string, peak double, total double, n long, pairs long").where("pairs > 0")
+    mean = F.round(F.try_divide(F.sum("total"), F.sum("n")), 6)
+    return cells.groupBy("grp").agg(F.round(F.max("peak"), 6).alias("peak"), mean.alias("mean"), F.sum("pairs").alias("pairs")).where("peak >= 0.5")
 
 
 # -- notices, names and resources ----------------------------------------------------------------

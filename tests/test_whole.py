@@ -62,3 +62,16 @@ def test_pairs_of_all_tokens(spark, monkeypatch, block):
     want = duck.sql(registry.ORACLES["token_fingerprint_pairs"].replace(" HAVING count(*) <= 25", "")).df()
     got = registry.QUERIES["token_fingerprint_pairs"](spark, SF).toPandas()
     assert rows(got) == rows(want)
+
+
+@needs_tables
+@pytest.mark.parametrize("block", [7, 2048])
+def test_pairs_of_whole_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(analytics, "MEMBER_BLOCK", block)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    sample = " QUALIFY row_number() OVER (PARTITION BY grp ORDER BY id) <= 10"
+    assert registry.ORACLES["surprise_pairs"].count(sample) == 1
+    want = duck.sql(registry.ORACLES["surprise_pairs"].replace(sample, "")).df()
+    got = registry.QUERIES["surprise_pairs"](spark, SF).toPandas()
+    assert rows(got) == rows(want)
