@@ -28,6 +28,7 @@ ALPHABETS = {
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 
 #: Of written language: the chance that two of its letters are equal, that three are, and that the class
@@ -58,6 +59,7 @@ def _measures(token: Column) -> Column:
         (body.rlike("^[0-9A-Za-z]+$"), ALPHABETS["base62"]),
         (body.rlike("^[0-9A-Za-z+/]+$"), ALPHABETS["base64"]),
         (body.rlike("^[0-9A-Za-z_-]+$"), ALPHABETS["base64url"]),
+        (body.rlike("^[0-9A-Za-z+/_-]+$"), ALPHABETS["mixed"]),
     ]
     alphabet = F.lit("")
     for ok, letters in reversed(tests):
@@ -72,6 +74,27 @@ def _measures(token: Column) -> Column:
     return F.struct(n.alias("n"), alphabet.alias("alphabet"), chars.alias("chars"), squares.alias("squares"), change.alias("change"))
 
 
+def _candidates(runs: DataFrame) -> DataFrame:
+    """The runs(uid, start, n_chars, body), and of those that hold signs of both base64 alphabets, also the parts between
+    the signs of either that are long enough: the signs of the other may belong to a secret in it."""
+    both = F.rtrim("body", F.lit("=")).rlike("[+/]") & F.col("body").rlike("[_-]")
+    rows = runs.where(both).select("uid", "start", F.explode(F.array(F.lit("[+/]"), F.lit("[_-]"))).alias("foreign"), "body")
+    rows = rows.select("uid", "start", "foreign", F.posexplode(F.split("body", F.col("foreign"))).alias("at", "part"))
+    before = Window.partitionBy("uid", "start", "foreign").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.withColumn("start", F.col("start") + F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0)))
+    parts = parts.where(F.length(F.rtrim("part", F.lit("="))) >= LEAST["random"])
+    parts = parts.groupBy("uid", "start", "part").agg(F.max(F.length("part").cast("long")).alias("n_chars"))
+    return runs.select("uid", "start", "n_chars", "body").union(parts.select("uid", "start", "n_chars", "part")).withColumn("end", F.col("start") + F.col("n_chars"))
+
+
+def _merged(random: DataFrame) -> DataFrame:
+    """Spans that overlap become one, as those of a run and of its parts do."""
+    before = Window.partitionBy("uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
+    return random.withColumn("new", new).withColumn("span", F.sum("new").over(upto)).groupBy("uid", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def _battery(found: DataFrame) -> DataFrame:
     """found(…, body) with p and steady for each candidate."""
     m = found.withColumn("_m", _measures(F.col("body"))).select("*", "_m.*").drop("_m").withColumn("k", F.length("alphabet").cast("double"))
@@ -113,8 +136,9 @@ def scan_secrets(docs: DataFrame, false_discovery: float = 0.01, id_col: str = "
     Beyond the base patterns, a run of 20 or more token characters is a `random` span when it touches no
     base span, passes uniformity (chi-squared over the alphabet of its inferred encoding, runs about the
     middle, serial correlation) and is unlike language at the false-discovery rate asked for, controlled
-    by Benjamini and Hochberg's rule within strata of length over all candidates of the table. Digits
-    alone are never random. Null texts are empty; a document without spans has counts of 0 and the hash
+    by Benjamini and Hochberg's rule within strata of length over all candidates of the table. A run with
+    signs of both base64 alphabets is a candidate over the 66 of both, and so is each part of 20 or more
+    characters between the signs of either; spans that overlap become one. Digits alone are never random. Null texts are empty; a document without spans has counts of 0 and the hash
     of the empty string; repeated rows are scanned each; other columns are ignored.
 
     One scan of the texts finds segments; only matches go on. Starts are running sums in a window over
@@ -134,13 +158,17 @@ def scan_secrets(docs: DataFrame, false_discovery: float = 0.01, id_col: str = "
     size = F.when(F.col("kind") == 0, F.length(F.regexp_extract("body", PATTERNS["assign"], 2))).otherwise(F.col("n_chars"))
     least = F.element_at(F.array(*[F.lit(LEAST[k]) for k in KINDS]), F.col("kind") + 1)
     found = save(found.where(F.col("body").isNotNull()).where(size >= least).withColumn("end", F.col("start") + F.col("n_chars")), "found")
-    tested = save(_battery(found.where("kind = 3")).select("uid", "start", "end", "steady", "bin", "stratum"), "tested")
+    tested = save(_battery(_candidates(found.where("kind = 3"))).select("uid", "start", "end", "steady", "bin", "stratum"), "tested")
     bins = tested.groupBy("stratum", "bin").agg(F.count("*").alias("c"))
     down = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     all_ = Window.partitionBy("stratum")
     passed = bins.withColumn("above", F.sum("c").over(down)).withColumn("m", F.sum("c").over(all_))
     limits = passed.where(F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE) <= false_discovery * F.col("above") / F.col("m")).groupBy("stratum").agg(F.min("bin").alias("least_bin"))
-    random = tested.join(F.broadcast(limits), "stratum").where("steady AND bin >= least_bin").select("uid", F.lit(3).alias("kind"), "start", "end")
+    random = tested.join(F.broadcast(limits), "stratum").where("steady AND bin >= least_bin").select("uid", "start", "end")
+    # a part may be clear of a base span that its run touches
+    fixed = found.where("kind < 3").select(F.col("uid").alias("u"), F.col("start").alias("s0"), F.col("end").alias("e0"))
+    random = random.join(fixed, (F.col("uid") == F.col("u")) & (F.col("s0") < F.col("end")) & (F.col("e0") > F.col("start")), "left_anti")
+    random = _merged(random).select("uid", F.lit(3).alias("kind"), "start", "end")
     spans = found.where("kind < 3").select("uid", "kind", "start", "end").union(random).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
     base = F.filter("s", lambda x: x["kind"] < 3)
     spans = spans.withColumn("base", base).withColumn("s", F.filter("s", lambda x: (x["kind"] < 3) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))))
