@@ -44,16 +44,23 @@ def route(x: np.ndarray, way: np.ndarray, cut: np.ndarray, depth: int, spill: fl
     return rows, node - ((1 << depth) - 1)
 
 
-def _leaves(forest, depth: int):
+def _leaves(forests: dict):
+    """forests has the depth and the trees for each dimension."""
+
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float64)
-            if not len(x):
+            v = batch.column("v").to_pylist()
+            if not v:
                 continue
-            own: list[list[int]] = [[] for _ in range(len(x))]
-            for t, (way, cut) in enumerate(forest):
-                for r, leaf in zip(*(a.tolist() for a in route(x, way, cut, depth, SPILL)), strict=True):
-                    own[r].append((t << depth) + leaf)
+            dims = np.array(list(map(len, v)))
+            own: list[list[int]] = [[] for _ in v]
+            for d in np.unique(dims).tolist():
+                some = np.flatnonzero(dims == d)
+                x = np.array([v[k] for k in some], np.float64)
+                depth, forest = forests[d]
+                for t, (way, cut) in enumerate(forest):
+                    for r, leaf in zip(*(a.tolist() for a in route(x, way, cut, depth, SPILL)), strict=True):
+                        own[some[r]].append((t << depth) + leaf)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "v", "size")), pa.array(own, pa.list_(pa.int32()))], names=["cid", "label", "v", "size", "leaves"])
 
     return run
@@ -113,35 +120,38 @@ def _compare(least: float):
 def embedding_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Vectors of the same non-null label are linked when their cosine in double precision is at least
-    `least`. Null and zero vectors, and those with null or non-finite components or another dimension
-    than most, link with nothing; nor do rows with a null id. Equal vectors are one class from the start
+    Vectors of the same non-null label and dimension are linked when their cosine in double precision is at
+    least `least`. Null and zero vectors, and those with null or non-finite components, link with nothing;
+    nor do rows with a null id. Equal vectors are one class from the start
     and count each other as links. Extra columns are ignored; an empty table gives an empty result.
 
-    Every vector is routed down each of TREES trees of random splits, with spill; vectors meet in leaves,
+    Every vector is routed down each of its dimension's TREES trees of random splits, with spill; vectors meet in leaves,
     each pair being counted in the first leaf it shares. Leaves larger than BLOCK are compared in blocks,
     so no task holds more than two blocks. Pairs never leave a task: it returns counts and a forest.
     """
     spark = vectors.sparkSession
     v = F.col(vec_col).cast("array<double>")
-    dims = vectors.select(F.size(v).alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    d = dims[0] if dims else 0
     good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(v) == d) & good
+    usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & good
     rows = save(
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.col(label_col).cast("string")).alias("label"), v.alias("v")),
+        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.concat(F.size(v), F.lit(":"), F.col(label_col).cast("string"))).alias("label"), v.alias("v")),
         "vectors",
     )
     keyed = rows.where("label IS NOT NULL").withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(7), "v"))
     classes = save(keyed.groupBy("label", "h", "g").agg(F.min("vec_id").alias("cid"), F.count("*").alias("size"), F.first("v").alias("v")), "classes")
-    stats = classes.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("s")).agg(F.max("n"), F.sum("s")).first()
-    most, total = stats[0] or 0, stats[1] or 0
-    sample = np.array([r[0] for r in classes.orderBy("h", "cid").limit(SAMPLE).select("v").collect()], np.float64).reshape(-1, max(d, 1))
-    depth = int(min(DEEPEST, max(0, np.ceil(np.log2(max(most, 1) / LEAF)))))
-    sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
-    forest = [grow(sample, depth, seed) for seed in range(TREES)]
+    each = classes.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.first(F.size("v")).alias("d"))
+    stats = each.groupBy("d").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    total, held = sum(r.s for r in stats), sum(r.n for r in stats)
+    forests = {}
+    for r in stats:
+        depth = int(min(DEEPEST, max(0, np.ceil(np.log2(max(r.most, 1) / LEAF)))))
+        # a tree without splits needs no sample
+        share = max(LEAF, round(SAMPLE * r.n / held)) if depth else 0
+        sample = np.array([x[0] for x in classes.where(F.size("v") == r.d).orderBy("h", "cid").limit(share).select("v").collect()] if share else [], np.float64).reshape(-1, r.d)
+        sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+        forests[r.d] = depth, [grow(sample, depth, seed) for seed in range(TREES)]
     unit = classes.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).select("cid", "label", "size", F.transform("v", lambda c: c / F.col("norm")).alias("v"))
-    placed = save(unit.select("cid", "label", "v", "size").mapInArrow(_leaves(forest, depth), "cid long, label string, v array<double>, size long, leaves array<int>"), "leaves")
+    placed = save(unit.select("cid", "label", "v", "size").mapInArrow(_leaves(forests), "cid long, label string, v array<double>, size long, leaves array<int>"), "leaves")
     each = placed.withColumn("leaf", F.explode("leaves"))
     full = each.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = each.join(full.select("label", "leaf", "blocks"), ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))

@@ -5,9 +5,11 @@ import random
 import string
 
 import duckdb
+import numpy as np
 import pytest
 from test_queries import SF, rows
 
+from stratalens.llm.embedding_dedup import embedding_dedup
 from stratalens.llm.line_dedup import line_dedup
 from stratalens.llm.secrets import scan_secrets
 from stratalens.plans import analytics, registry, relations
@@ -94,3 +96,19 @@ def test_secrets_beside_foreign_signs(spark):
     assert got[3] == (0, "")
     assert got[4] == (1, "random:2:94")
     assert got[5][0] == 1 and got[5][1].startswith("access:0:20,random:") and got[5][1].endswith(":63")
+
+
+def test_embeddings_of_each_dimension(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal(8).tolist(), rng.standard_normal(5).tolist()
+    found = [(k, a, "x") for k in range(3)] + [(10, b, "x"), (11, b, "x"), (12, [1.0001 * c for c in b], "x"), (13, b, "y"), (14, [0.0] * 5, "x"), (15, [], "x")]
+    # a dimension whose tree has splits
+    found += [(1000 + k, rng.standard_normal(6).tolist(), "x") for k in range(400)]
+    found += [(2000 + k, found[-1 - k][1], "x") for k in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(spark.createDataFrame(found, "vec_id long, embedding array<double>, label string")).collect()}
+    assert {got[k] for k in range(3)} == {(2, 0)} and {got[k] for k in (10, 11, 12)} == {(2, 10)}
+    assert [got[k] for k in (13, 14, 15)] == [(0, 13), (0, 14), (0, 15)]
+    unit = np.array([v for _, v, _ in found[9:]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert [got[i][0] for i, _, _ in found[9:]] == links.tolist()
