@@ -13,17 +13,35 @@ from pyspark.sql import functions as F
 _own_dir: str | None = None
 _made: list[tuple[SparkSession, str]] = []
 
+#: Bytes of one Arrow batch on its way to Python, where the session does not say otherwise.
+BATCH_BYTES = str(8 << 20)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder in the temporary
+    one serves a local session; a cluster must name one, as its executors would each write to their own disk."""
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="stratalens-")
     return _own_dir
 
 
+def in_arrow_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as rows, as texts may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size."""
+    in_arrow_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet stage table in the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
@@ -66,6 +84,18 @@ def _clean() -> None:
             return
 
 
+def own_names(df: DataFrame) -> dict[str, str]:
+    """Plain names c0, c1 … for df's columns, so that no helper column clashes with them."""
+    return {c: f"c{k}" for k, c in enumerate(df.columns)}
+
+
+def first_row(df: DataFrame) -> Column:
+    """Aggregate: of rows with df's columns, the one whose columns sort first, as the struct _row. Maps have no order
+    and decide nothing."""
+    ordered = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.min_by(F.struct(*df.columns), F.struct(*ordered)).alias("_row")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

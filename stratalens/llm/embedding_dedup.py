@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, save
+from .common import attach, components, in_arrow, save
+from .tokens import tidy
 
 TREES = 6
 #: Trees are fitted on at most this many vectors (those with the smallest hashes); every vector is routed.
@@ -151,7 +152,7 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
         forests[r.d] = depth, [grow(sample, depth, seed) for seed in range(TREES)]
     unit = classes.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).select("cid", "label", "size", F.transform("v", lambda c: c / F.col("norm")).alias("v"))
-    placed = save(unit.select("cid", "label", "v", "size").mapInArrow(_leaves(forests), "cid long, label string, v array<double>, size long, leaves array<int>"), "leaves")
+    placed = save(in_arrow(unit.select("cid", "label", "v", "size"), tidy(_leaves(forests)), "cid long, label string, v array<double>, size long, leaves array<int>"), "leaves")
     each = placed.withColumn("leaf", F.explode("leaves"))
     full = each.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = each.join(full.select("label", "leaf", "blocks"), ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))

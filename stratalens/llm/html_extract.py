@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+from .tokens import tidy
+
 PATH_DIM, WORD_DIM, NUMBERS = 96, 32, 6
 DIM = PATH_DIM + WORD_DIM + NUMBERS
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
@@ -192,4 +195,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     are extracted each; other columns are ignored; an empty table gives an empty result. Pages never meet:
     there is no shuffle, and a task holds 512 pages at a time.
     """
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string")).mapInArrow(_extract, pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
+    return in_arrow(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string")), tidy(_extract), pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)

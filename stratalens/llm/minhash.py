@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bitmap, components, drop, maybe_in, save
-from .tokens import U64, chunks, mix, words
+from .common import attach, bitmap, components, drop, first_row, in_arrow, maybe_in, own_names, save, tested_in
+from .tokens import U64, chunks, mix, tidy, words
 
 #: Two collections of COLLECTION bands of BAND minhashes; a table's key is a pair, one band from each.
 #: 24 minhashes serve 36 tables of 4, where independent tables would take 144. At a similarity of 0.8 a
@@ -70,11 +70,12 @@ def _signatures(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     *map(pa.array, sums),
                     pa.ListArray.from_arrays(np.arange(0, low.size + 1, low.shape[1], dtype=np.int32), low.ravel()),
                 ],
-                names=["doc_id", "n", "s1", "s2", "low"],
+                names=["doc_id", "t", "n", "s1", "s2", "low"],
             )
 
     return run
@@ -145,27 +146,16 @@ def _link_blocks(percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when their sets of distinct k-word shingles (A-Z lower-cased; words are runs of
-    other than ASCII white space) have a Jaccard similarity of percent / 100 or more; component_id is the
-    smallest doc_id reachable, kept marks it. A text of fewer than k words is one shingle; a null or
-    wordless text has none and stays alone. Rows that repeat a doc_id count as one document's copies.
-    Extra columns are ignored. Rows with a null doc_id stay alone, not kept.
-
-    Equal sets are one class from the start. Classes that share a table key meet at the key's smallest
-    member, their pivot: one pair a member, never all pairs; confirmed links give components. Members of a
-    pivot that are outside its component are then compared, in blocks, with all its members, on their
-    full sets held as differences from the pivot's; tasks return one link for each component reached. Any two
-    classes that share a key share its pivot, so none of their links is lost.
-    """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = save(src.mapInArrow(_signatures(k), "doc_id long, n long, s1 long, s2 long, low array<int>"), "signatures")
-    sets = save(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("low").alias("low")),
-        "sets",
-    )
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, nulls: bool) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, t, n, s1, s2) of every row, t being a hash of its text; one row (n, s1, s2, size, component, d, t) for each
+    class of equal sets, where (d, t) is the first row of its component; and the rows in classes."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    rows = save(in_arrow(src.select("doc_id", "text", "t"), tidy(_signatures(k)), "doc_id long, t long, n long, s1 long, s2 long, low array<int>"), "signatures")
+    d = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
+    # a class's number is its own, whatever ids repeat; it stays as written
+    sets = rows.where("n > 0" + ("" if nulls else " AND doc_id IS NOT NULL")).groupBy("n", "s1", "s2")
+    sets = sets.agg(F.min(F.struct(d.alias("d"), "t")).alias("first"), F.count("*").alias("size"), F.first("low").alias("low"))
+    sets = save(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
     total = sets.agg(F.sum("size")).first()[0] or 0
 
     def band(c: int) -> str:
@@ -176,13 +166,16 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     met = save(tables.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1"), "keys")
     n_met = met.count()
     buckets = save(maybe_in(tables, "key", bitmap(met, "key", n_met)).join(met, "key").select("key", "pivot", "rep", "n"), "buckets")
-    wanted = save(buckets.select("rep").distinct(), "wanted")
-    texts = save(maybe_in(src, "doc_id", bitmap(wanted, "rep", wanted.count())).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    firsts = sets.select("rep", "first.d", "first.t").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    wanted = save(firsts, "wanted")
+    places = wanted.groupBy("d", "t").agg(F.collect_list("rep").alias("reps"))
+    texts = maybe_in(src, "t", bitmap(wanted, "t", wanted.count())).withColumn("d", d).join(places, ["d", "t"])
+    texts = save(texts.groupBy("d", "t").agg(F.first("text").alias("text"), F.first("reps").alias("reps")).select(F.explode("reps").alias("rep"), "text"), "texts")
     star = save(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "n").distinct(), "star")
     sizes = sets.select(F.col("rep").alias("a"), F.col("n").alias("pivot_n"))
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     near = star.join(sizes, "a").where(f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
-    first = save(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    first = save(in_arrow(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), tidy(_confirm(k, percent)), "a long, b long"), "links")
     found = save(components(first), "components")
 
     # groups of a pivot with members outside its component and others to compare them with
@@ -193,17 +186,61 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     mixed = placed.groupBy("a").agg(F.count("*").alias("members"), F.count_if("outside").alias("others")).where("members > 1 AND others > 0")
     mixed = save(mixed.select("a", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("outer")), "mixed")
     both = placed.join(mixed, "a", "left_semi").join(left, "a").join(right, "b").select("a", "b", "n", "component", "outside", "text_a", "text_b")
-    deltas = save(both.mapInArrow(_deltas(k), "a long, b long, n long, component long, outside boolean, base long, minus long, delta array<long>"), "deltas").join(mixed, "a")
+    deltas = save(in_arrow(both, tidy(_deltas(k)), "a long, b long, n long, component long, outside boolean, base long, minus long, delta array<long>"), "deltas").join(mixed, "a")
     part = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = deltas.withColumn("role", F.lit(0)).withColumn("x", upto("outer")).withColumn("y", part("blocks"))
     others = deltas.where("outside").withColumn("role", F.lit(1)).withColumn("x", part("outer")).withColumn("y", upto("blocks"))
     second = save(members.unionByName(others).groupBy("a", "x", "y").applyInArrow(_link_blocks(percent), "a long, b long"), "links")
-    final = save(components(first.union(second)), "components").select(F.col("node").alias("rep"), "component")
+    final = save(components(first.union(second)).withColumnRenamed("node", "rep"), "components")
+
+    drop(buckets, star, placed, texts, wanted)
+    named = sets.select("n", "s1", "s2", "rep", "size", "first").join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = named.groupBy("component").agg(F.min("first").alias("head"))
+    classes = save(named.join(heads, "component").select("n", "s1", "s2", "size", "head.*"), "classes")
+    return rows.select("doc_id", "t", "n", "s1", "s2"), classes, total
 
-    drop(buckets, star, placed, texts)
-    classes = save(sets.select("n", "s1", "s2", "rep", "size").join(final, "rep", "left").select("n", "s1", "s2", "size", F.coalesce("component", "rep").alias("component")), "classes")
-    out = attach(rows.select("doc_id", "n", "s1", "s2"), classes, ["n", "s1", "s2"], "size", total)
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", F.col("doc_id")))
+
+def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when their sets of distinct k-word shingles (A-Z lower-cased; words are runs of
+    other than ASCII white space) have a Jaccard similarity of percent / 100 or more; component_id is the
+    smallest doc_id reachable, kept marks it. A text of fewer than k words is one shingle; a null or
+    wordless text has none and stays alone. Rows that repeat a doc_id are linked by their own texts.
+    Extra columns are ignored. Rows with a null doc_id stay alone, not kept.
+
+    Equal sets are one class from the start, told by their size and two sums of 64-bit hashes: a class is wrong only where
+    two sets of a size agree in all 128 bits. Classes that share a table key meet at one
+    member, their pivot: one pair a member, never all pairs; confirmed links give components. Members of a
+    pivot that are outside its component are then compared, in blocks, with all its members, on their
+    full sets held as differences from the pivot's; tasks return one link for each component reached. Any two
+    classes that share a key share its pivot, so none of their links is lost.
+    """
+    rows, classes, total = _grouped(docs, k, percent, id_col, text_col, nulls=False)
+    out = attach(rows, classes.drop("t"), ["n", "s1", "s2"], "size", total)
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("d", F.col("doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less its near copies: one row of each group of linked documents stays, that of the smallest id, with all its
+    columns, whatever their names. Here null ids take part and come last; of rows that repeat id and text the one
+    whose columns sort first stays, and where an id repeats with other texts, so does the id's first text by hash. Texts
+    without words are linked with nothing and stay; an empty table stays empty.
+    """
+    rows, classes, total = _grouped(docs, k, percent, id_col, text_col, nulls=True)
+    groups = save(classes.groupBy("d", "t").agg(F.sum("size").alias("rows")).where("rows > 1"), "groups")
+    # every row of a group of several: its text's hash, with the row that the group keeps
+    some = classes.join(groups, ["d", "t"], "left_semi").select("n", "s1", "s2", F.col("d").alias("_d"), F.col("t").alias("_keep"), "size")
+    d = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    placed = attach(rows.withColumn("_id", d), save(some, "some"), ["n", "s1", "s2"], "size", total, how="inner").where("_keep IS NOT NULL")
+    gone = save(placed.select("_id", F.col("t").alias("_t"), ((F.col("_id") == F.col("_d")) & (F.col("t") == F.col("_keep"))).alias("_stays")).distinct(), "gone")
+    own = own_names(docs)
+    named = docs.toDF(*own.values()).withColumns({"_id": F.coalesce(F.col(own[id_col]).cast("long"), F.lit((1 << 63) - 1)), "_t": F.xxhash64(F.col(own[text_col]).cast("string"))})
+    tested = tested_in(named, "_t", bitmap(gone, "_t", gone.count()))
+    rest = tested.where("_maybe").join(gone, ["_id", "_t"], "left")
+    alone = rest.where("_stays IS NULL").select(*own.values())
+    first = rest.where("_stays").groupBy("_id", "_t").agg(first_row(docs.toDF(*own.values())))
+    return tested.where("NOT _maybe").select(*own.values()).unionByName(alone).unionByName(first.select("_row.*")).toDF(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import drop, own_names, save
 
 NONE = "(none)"
 BINS = 4096  # seeded order keys of a leaf are first summed in this many ranges
@@ -51,21 +51,22 @@ def budgets(held: dict[Path, int], weights: dict[Path, float], total: int, epoch
     the subtrees hold in `epochs` passes. A shortage so stays with siblings while they can take it, and
     only reaches an ancestor's other children when its whole branch is full. A weight not given is 1."""
     out: dict[Path, int] = {}
-
-    def down(prefix: Path, budget: int) -> None:
-        depth = len(prefix)
-        kids: dict[str, int] = {}
-        for p, n in held.items():
-            if p[:depth] == prefix:
-                kids[p[depth]] = kids.get(p[depth], 0) + n * epochs
-        for k, n in fill(budget, {k: (weights.get((*prefix, k), 1.0), c) for k, c in kids.items()}).items():
-            if depth + 1 == len(next(iter(held))):
-                out[*prefix, k] = n
+    # what each node holds, summed from its leaves, and its children
+    below: dict[Path, int] = {}
+    kids: dict[Path, list[str]] = {}
+    for p, n in held.items():
+        for depth in range(len(p)):
+            if p[: depth + 1] not in below:
+                kids.setdefault(p[:depth], []).append(p[depth])
+            below[p[: depth + 1]] = below.get(p[: depth + 1], 0) + n * epochs
+    open_ = [((), total)] if held else []
+    while open_:
+        node, budget = open_.pop()
+        for k, n in fill(budget, {k: (weights.get((*node, k), 1.0), below[*node, k]) for k in kids[node]}).items():
+            if (*node, k) in kids:
+                open_.append(((*node, k), n))
             else:
-                down((*prefix, k), n)
-
-    if held:
-        down((), total)
+                out[*node, k] = n
     return out
 
 
@@ -86,18 +87,23 @@ def mix_sources(
     child of their own. The whole budget is `fraction` of all tokens (words by default). A leaf that is
     given more than it holds repeats in epochs; each epoch orders the leaf by a hash of seed, epoch and
     doc_id, and the last one is a token-prefix of that order: _take is less than _tokens for the document
-    that the budget ends in. Rows that repeat a doc_id have one place in the order. Rows without tokens are
-    never chosen; an empty table gives an empty result.
+    that the budget ends in. Rows that repeat a doc_id, or have none, have one place in the order; where the budget ends
+    in such a place they follow each other in the order of the table, so that no more than the budget is taken. Rows
+    without tokens are never chosen; an empty table gives an empty result. Columns of docs may have any names but those
+    three.
+
+    On the driver is one entry a leaf, that is, a source: some 300 bytes each.
 
     Prefixes need no sort of a leaf: tokens are summed by range of the hash, and only the range in which the
     budget ends is looked at row by row. The decision is one row per leaf and epoch; texts never move.
     """
     spark = docs.sparkSession
+    own = own_names(docs)
     n = word_count(F.col(text_col)) if tokens is None else tokens
     keys = [f"_level{k}" for k in range(len(levels))]
-    leaf = dict(zip(keys, (F.coalesce(c.cast("string"), F.lit(NONE)) for c in levels.values()), strict=True))
-    src = docs.withColumns({**leaf, "_tokens": n})
-    slim = save(src.where("_tokens > 0").select(*keys, F.col(id_col).cast("string").alias("_id"), "_tokens"), "leaves")
+    leaf = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in zip(keys, levels.values(), strict=True)]
+    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], *leaf, n.alias("_tokens"), F.col(id_col).cast("string").alias("_id")).where("_tokens > 0")
+    slim = save(src.select(*keys, "_id", "_tokens"), "leaves")
     held = {tuple(r[k] for k in keys): r["n"] for r in slim.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect()}
     given = budgets(held, weights, int(fraction * sum(held.values())), epochs)
     plan = []
@@ -124,6 +130,16 @@ def mix_sources(
     cut = inside.withColumn("upto", F.col("_before") + F.sum("n").over(running)).where("upto >= _want AND upto - n < _want")
     cut = cut.select(*keys, "_epoch", F.col("_u").alias("_cut"), (F.col("_want") - F.col("upto") + F.col("n")).alias("_last"))
     decided = save(wanted.join(cut, [*keys, "_epoch"], "left"), "decided")
-    chosen = src.where("_tokens > 0").join(small(decided), keys).withColumn("_u", order(F.col(id_col).cast("string"))).where("_whole OR _u <= _cut")
-    chosen = chosen.withColumn("_take", F.when(F.col("_whole") | (F.col("_u") < F.col("_cut")), F.col("_tokens")).otherwise(F.least("_tokens", "_last")))
-    return chosen.drop("_u", "_cut", "_last", "_want", "_whole", *keys)
+    drop(slim)
+    placed = src.join(small(decided), keys).withColumn("_u", order(F.col("_id")))
+    result = [*own.values(), "_epoch", "_tokens"]
+    whole = placed.where("_whole OR _u < _cut").select(*result, F.col("_tokens").alias("_take"))
+    # rows at the place where the budget ends, as a rule one a leaf: running sums over each task's rows, then over tasks
+    last = save(placed.where("NOT _whole AND _u = _cut").withColumn("_row", F.monotonically_increasing_id()), "last").withColumn("_task", F.shiftright("_row", 33))
+    tasks = last.groupBy(*keys, "_epoch", "_task").agg(F.sum("_tokens").alias("n"))
+    ahead = Window.partitionBy(*keys, "_epoch").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(*keys, "_epoch", "_task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_ahead"))
+    within = Window.partitionBy(*keys, "_epoch", "_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("_last") - F.col("_ahead") - F.coalesce(F.sum("_tokens").over(within), F.lit(0))
+    ending = last.join(tasks, [*keys, "_epoch", "_task"]).withColumn("_take", F.least(F.col("_tokens"), room)).where("_take > 0").select(*result, "_take")
+    return whole.unionByName(ending).toDF(*docs.columns, "_epoch", "_tokens", "_take")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
-from .tokens import word_bpe
+from .common import in_arrow, save
+from .tokens import tidy, word_bpe
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
@@ -193,7 +193,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     frequent, is ever sorted in one task.
     """
     spark = docs.sparkSession
-    pieces = save(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer, capacity, end_id), PIECE), "pieces")
+    pieces = save(in_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tidy(_pieces(tokenizer, capacity, end_id)), PIECE), "pieces")
     per = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     counts = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("n")).collect()}
     rows, _ = plan(counts, capacity)
@@ -201,4 +201,4 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     starts = per.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(starts, ["part", "length"]).withColumn("rank", F.col("part_rank") + F.col("before"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(rows), schema)
+    return in_arrow(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), _place(rows), schema)

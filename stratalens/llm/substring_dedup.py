@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, bitmap, drop, maybe_in, save, tested_in, without
-from .tokens import U64, chunks, mix, words
+from .common import attach, bitmap, drop, in_arrow, maybe_in, save, tested_in, without
+from .tokens import U64, chunks, mix, tidy, words
 
 #: Rounds of recompression, and the most words that a symbol may stand for.
 ROUNDS, WIDEST = 3, 8
@@ -204,7 +204,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     later = save(attach(ids, classes, ["t1", "t2"], "n", total).where("d > first").select("d", "t1").distinct(), "later")
     reps = without(src.select("d", "t1", "text"), ["d", "t1"], later)
 
-    symbols = save(reps.mapInArrow(_symbols(window), "name long, d long, t1 long, idx int, before int, after int"), "symbols")
+    symbols = save(in_arrow(reps, tidy(_symbols(window)), "name long, d long, t1 long, idx int, before int, after int"), "symbols")
     names = save(symbols.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
     shared = maybe_in(symbols, "name", bitmap(names, "name", names.count())).join(names, "name", "left_semi")
     order = Window.partitionBy("d", "t1").orderBy("idx")
@@ -215,7 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     drop(symbols, names)
 
     open_ = maybe_in(reps, "d", bitmap(ranges, "d", ranges.count())).join(ranges, ["d", "t1"]).select("d", "t1", "text", "ranges")
-    found = save(open_.mapInArrow(_windows(window), "k1 long, k2 long, d long, t1 long, place int"), "windows")
+    found = save(in_arrow(open_, tidy(_windows(window)), "k1 long, k2 long, d long, t1 long, place int"), "windows")
     again = save(found.groupBy("k1", "k2").agg(F.min(F.struct("d", "place")).alias("m"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.col("m.d").alias("m_d"), F.col("m.place").alias("m_place")), "again")
     some = maybe_in(found, "k1", bitmap(again, "k1", again.count())).join(again, ["k1", "k2"]).where("d > m_d OR (d = m_d AND place > m_place)")
     starts = save(some.groupBy("d", "t1").agg(F.collect_list("place").alias("starts")), "starts")
@@ -227,4 +227,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     clear = tested.where("NOT _maybe").select("doc_id", "text", none.alias("starts"), F.lit(False).alias("whole"))
     rest = tested.where("_maybe").join(starts, ["d", "t1"], "left").join(later.withColumn("whole", F.lit(True)), ["d", "t1"], "left")
     rest = rest.select("doc_id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
-    return clear.union(rest).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return in_arrow(clear.union(rest), tidy(_cut(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

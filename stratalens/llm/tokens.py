@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
 
 
+#: Bytes of text whose words are hashed at once, about 40 bytes of memory each.
+STRETCH = 1 << 20
+
+
+def tidy(run):
+    """run, a function over Arrow batches, giving free memory back to the system when its task ends: workers are kept
+    from stage to stage, and one that holds on to what an earlier stage needed leaves less to all later ones."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library: it keeps its free memory
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -29,33 +53,53 @@ def _byte_table(lower: bool, seed: int) -> np.ndarray:
     return t
 
 
-_powers = np.ones(1, U64)
+@lru_cache(1)
+def _powers() -> np.ndarray:
+    p = np.full(4096, 0x9E3779B97F4A7C15, U64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
 def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(2 * n, 0x9E3779B97F4A7C15, U64)
-        p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers
+    """The first n powers; those of an unusually long word are not kept."""
+    if n <= len(_powers()):
+        return _powers()
+    p = np.full(n, 0x9E3779B97F4A7C15, U64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
-def words(texts: list[bytes], lower: bool = False, seeds: tuple[int, ...] = (1,)) -> tuple[list[np.ndarray], np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, once for each seed, and each text's word count."""
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)  # the separator is white space: no word spans two texts
-    ends_at = np.cumsum(lens + 1)
+def _hashed(buf: np.ndarray, lower: bool, seeds: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where the words of a buffer that ends in white space begin, and their hashes for each seed."""
     inside = ~SPACE[buf]
     starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-    per = np.diff(np.concatenate(([0], np.searchsorted(starts, ends_at))))
     if not len(starts):
-        return [np.zeros(0, U64) for _ in seeds], per
+        return starts, [np.zeros(0, U64) for _ in seeds]
     spans = np.diff(np.append(starts, len(buf)))
     at = np.arange(starts[0], len(buf)) - np.repeat(starts, spans)
     scale = _power(int(spans.max()) + 1)[at]
     body = buf[starts[0] :]
-    return [mix(np.add.reduceat(_byte_table(lower, s)[body] * scale, starts - starts[0])) for s in seeds], per
+    return starts, [mix(np.add.reduceat(_byte_table(lower, s)[body] * scale, starts - starts[0])) for s in seeds]
+
+
+def words(texts: list[bytes], lower: bool = False, seeds: tuple[int, ...] = (1,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, once for each seed, and each text's word count."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)  # the separator is white space: no word spans two texts
+    ends_at = np.cumsum(lens + 1)
+    starts, hashes, a = [], [], 0
+    while a < len(buf):
+        b = min(a + STRETCH, len(buf))
+        while not SPACE[buf[b - 1]]:  # up to the end of the word
+            more = np.flatnonzero(SPACE[buf[b : b + STRETCH]])
+            b = b + int(more[0]) + 1 if len(more) else b + STRETCH
+        s, h = _hashed(buf[a:b], lower, seeds)
+        starts.append(s + a)
+        hashes.append(h)
+        a = b
+    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    per = np.diff(np.concatenate(([0], np.searchsorted(starts, ends_at))))
+    return [np.concatenate([h[k] for h in hashes]) if hashes else np.zeros(0, U64) for k in range(len(seeds))], per
 
 
 def chunks(texts: list[bytes], limit: int = 1 << 20):
@@ -85,7 +129,7 @@ class WordBPE:
     word, and any that names a special token, goes to the tokenizers library.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
