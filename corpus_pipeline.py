@@ -3,14 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
 next stage's docs. All but the last return the columns of documents. Nothing is dropped but by a stage's
 own decision: texts in no language, exact copies, near copies, and documents beyond their source's budget.
+Every stage takes an empty table, null or repeated ids, null texts, and extra columns of any name.
 """
 
 import public_tokenizers
 
-from stratalens.llm.common import save, without
-from stratalens.llm.exact_dedup import exact_dedup
+from stratalens.llm.common import save
+from stratalens.llm.exact_dedup import drop_copies
 from stratalens.llm.language_id import keep_identified
-from stratalens.llm.minhash import minhash_dedup
+from stratalens.llm.minhash import drop_near_copies
 from stratalens.llm.mixing import mix_sources
 from stratalens.llm.packing import best_fit_pack
 from stratalens.llm.queries import MIX_WEIGHTS, mix_levels
@@ -21,29 +22,30 @@ ORACLE_SQL = None
 
 
 def language_id(spark, docs, sf_dir):
-    """Documents whose text is in some language stay."""
+    """Documents whose text is in some language stay; null texts and those without letters go."""
     return keep_identified(docs)
 
 
 def exact(spark, docs, sf_dir):
-    """Of equal texts the row with the largest doc_id stays."""
-    gone = save(exact_dedup(docs).where("NOT kept").select("doc_id"), "gone")
-    return without(docs, ["doc_id"], gone)
+    """Of equal texts one row stays, that with the largest doc_id. Null ids lose to any other; rows that share an id
+    with other texts are judged by their own."""
+    return drop_copies(docs)
 
 
 def near(spark, docs, sf_dir):
-    """Of documents linked by five-word shingles, similarity 0.8 or more, the smallest doc_id stays."""
-    gone = save(minhash_dedup(docs, k=5).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "gone")
-    return without(docs, ["doc_id"], gone)
+    """Of documents linked by five-word shingles, similarity 0.8 or more, one row stays, that with the smallest doc_id;
+    null ids come last."""
+    return drop_near_copies(docs, k=5)
 
 
 def mixing(spark, docs, sf_dir):
-    """Sources at their weights within 60 % of all tokens; one epoch, so that no copy comes back; documents stay whole."""
+    """Sources at their weights within 60 % of all tokens; one epoch, so that no copy comes back; documents stay whole.
+    Null languages and sources are children of their own; rows without tokens are never chosen."""
     return mix_sources(docs, mix_levels(), MIX_WEIGHTS, fraction=0.6, epochs=1).select(*docs.columns)
 
 
 def packing(spark, docs, sf_dir):
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens; a null text is one end token."""
     return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
