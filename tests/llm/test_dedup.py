@@ -156,14 +156,14 @@ def test_lines(spark):
     every = {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            if len(line) >= 20:
+            if line:
                 every.setdefault(line, (i, n))
     names = list(every)
     parent, find = union_find(len(names))
     linked = set()
     for a in range(len(names)):
         for b in range(a):
-            if abs(len(names[a]) - len(names[b])) <= 2 and lev(names[a], names[b]) <= 2:
+            if min(len(names[a]), len(names[b])) >= 20 and abs(len(names[a]) - len(names[b])) <= 2 and lev(names[a], names[b]) <= 2:
                 linked |= {a, b}
                 parent[find(a)] = find(b)
     first = {}
@@ -173,9 +173,9 @@ def test_lines(spark):
     got = {r.doc_id: r for r in lines.line_dedup(frame(spark, rows)).collect()}
     for i, t in rows:
         own = (t or "").split("\n")
-        kept = [x for n, x in enumerate(own) if len(x) < 20 or first[find(at[x])] == (i, n)]
+        kept = [x for n, x in enumerate(own) if not x or first[find(at[x])] == (i, n)]
         assert (got[i].n_lines, got[i].n_removed, got[i].kept_text) == (len(own), len(own) - len(kept), "\n".join(kept)), i
-        assert got[i].n_linked == sum(len(x) >= 20 and at[x] in linked for x in own)
+        assert got[i].n_linked == sum(x != "" and at[x] in linked for x in own)
     assert lines.line_dedup(frame(spark, []).limit(0)).count() == 0
 
 
