@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -53,13 +52,6 @@ def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
-    happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where.getParent(), True)
@@ -103,26 +95,29 @@ def ascii_lower(text: Column) -> Column:
 
 # -- bounded membership bitmaps -------------------------------------------------------------
 
-BITMAP_MAX_BITS = 1 << 27  # 16 MB, whatever the number of keys: past it the filter only lets more rows through
+BITMAP_MAX_BITS = 1 << 27  # 32 MB of words, whatever the number of keys: past it the filter only lets more rows through
 
 
 def bitmap(keys: DataFrame, col: str, n_keys: int) -> tuple[DataFrame, int]:
-    """A hashed bitmap of a key column: at most BITMAP_MAX_BITS / 32768 rows of 4 KB."""
+    """A hashed bitmap of a key column: at most BITMAP_MAX_BITS / 32768 rows of 1,024 words of 32 bits."""
     bits = 1 << 16
     while bits < min(16 * n_keys, BITMAP_MAX_BITS):
         bits <<= 1
     at = F.pmod(F.xxhash64(col), F.lit(bits))
     rows = keys.where(F.col(col).isNotNull()).select(F.shiftright(at, 15).alias("_bucket"), (at % 32768).alias("_bit"))
-    return rows.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bitmap")), bits
+    made = rows.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bitmap"))
+    words = F.expr("transform(sequence(0, 1023), k -> cast(conv(hex(substring(_bitmap, 4 * k + 1, 4)), 16, 10) AS bigint))")
+    return made.select("_bucket", words.alias("_words")), bits
 
 
 def tested_in(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:
     """df with _maybe: false for rows whose key is certainly not in the bitmap. No shuffle of df."""
     rows, bits = made
     at = F.pmod(F.xxhash64(col), F.lit(bits))
-    bit = F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1")
+    # a word's first byte is its highest; within a byte the lowest bit comes first
+    bit = F.expr("shiftright(get(_words, cast(_bit div 32 AS int)), cast(24 - (_bit % 32) div 8 * 8 + _bit % 8 AS int)) & 1")
     found = df.withColumns({"_bucket": F.shiftright(at, 15), "_bit": at % 32768}).join(F.broadcast(rows), "_bucket", "left")
-    return found.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bit", "_bitmap")
+    return found.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bit", "_words")
 
 
 def maybe_in(df: DataFrame, col: str, made: tuple[DataFrame, int]) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 
-from .html_extract import DIM, WEIGHTS, blocks, features, forward
+from .html_extract import DIM, PATH_DIM, WEIGHTS, WORD_DIM, blocks, features, forward
 
 SIZE = 16
 
@@ -20,6 +21,11 @@ NOISE = [
     '<section id="comments">', '<div class="comments">', '<div class="comment">', '<ol class="comment-list">', '<div class="login"><form>', '<div role="navigation">', '<div class="subscribe">',
 ]
 
+PLAIN = "wrap wrapper container inner outer row col grid page site layout body block box clearfix section".split()
+ABOUT = "article content post entry story text main body copy news single prose page-content article-body post-content entry-content story-body".split()
+COMMON = "the of and to in a is that it for was on with as by at from der die und in den von zu das mit sich des auf le la les et des en un une du que pour dans el los de y que en un por con para".split()
+LABELS = "Menu Home Search Login Subscribe Share Comments Reply Related Newsletter Archive Contact Imprint Privacy Terms Next Previous Accept Cookies Advertisement Sponsored Follow Tweet Print Tags".split()
+
 
 def _close(opened: str) -> str:
     names = [x.split()[0].strip("<>") for x in opened.replace("><", ">\n<").split("\n")]
@@ -31,10 +37,18 @@ def sample(rng: random.Random) -> tuple[str, list[str]]:
     truth: list[str] = []
     count = 0
 
+    common = rng.random() * 0.6
+
+    def named(tag: str, names: list[str]) -> str:
+        """The tag with up to three classes, and now and then an id."""
+        own = [rng.choice(names), *rng.sample(PLAIN, rng.randint(0, 2))]
+        kind = rng.random()
+        return f"<{tag}>" if kind < 0.2 else f'<{tag} id="{own[0]}">' if kind < 0.35 else f'<{tag} class="{" ".join(own)}">'
+
     def words(n: int) -> str:
         nonlocal count
         count += 1
-        own = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+        own = [rng.choice(COMMON) if rng.random() < common else "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
         for k in range(0, n, rng.randint(6, 14)):
             own[k] = own[k].capitalize()
         if rng.random() < 0.1:
@@ -43,7 +57,11 @@ def sample(rng: random.Random) -> tuple[str, list[str]]:
 
     def noise(inside: bool = False) -> str:
         opened = rng.choice(NOISE)
+        if rng.random() < 0.3:
+            opened = opened[:-1].replace('class="', f'class="{rng.choice(PLAIN)} ') + ">"
         kind = rng.random()
+        if rng.random() < 0.3:
+            opened += f"<{(head := rng.choice(('h2', 'h3', 'h4', 'div')))}>{rng.choice(LABELS)}</{head}>"
         if kind < 0.4:
             body = "<ul>" + "".join(f'<li><a href="/{k}">{words(rng.randint(1, 3))}</a></li>' for k in range(rng.randint(2, 8))) + "</ul>"
         elif kind < 0.6:
@@ -52,7 +70,7 @@ def sample(rng: random.Random) -> tuple[str, list[str]]:
             body = "".join(f"<p>{words(rng.randint(3, 60))}</p>" for _ in range(rng.randint(1, 4)))
         else:
             body = f"<label>{words(2)}</label><input name=q><button>{words(1)}</button><select><option>{words(1)}<option>{words(2)}</select>"
-        return opened + body + _close(opened)
+        return opened + body + _close(re.sub(r"<(h2|h3|h4|div)>\w+</\1>$", "", opened))
 
     def paragraph() -> str:
         text = words(rng.choice((1, 3, 8, 20, 60, 150, 300)))
@@ -71,6 +89,10 @@ def sample(rng: random.Random) -> tuple[str, list[str]]:
     out = [f"<!DOCTYPE html><html><head><title>{words(6)}</title><style>p{{}}</style></head><body>"]
     out += [noise() for _ in range(rng.randint(0, 4))]
     opened = rng.choice(CONTENT[:2] * 6 + CONTENT)
+    if rng.random() < 0.6:
+        # any nesting of neutral and of telling elements, one of them telling
+        inside = [named(rng.choice(("main", "article", "section", "div")), ABOUT) for _ in range(rng.randint(1, 2))]
+        opened = "".join([named("div", PLAIN) for _ in range(rng.randint(0, 2))] + [rng.choice(("<main>", "<article>", '<div class="content">'))] * (rng.random() < 0.7) + inside)
     wrap = rng.random() < 0.3
     out.append('<div class="page">' if wrap else "")
     out.append(opened)
@@ -123,7 +145,7 @@ def _backward(x: np.ndarray, kept: list, u: np.ndarray, into: np.ndarray) -> tup
     return dw, du, db
 
 
-def train(seed: int = 1, pages: int = 6000, epochs: int = 6, batch: int = 32) -> dict[str, np.ndarray]:
+def train(seed: int = 1, pages: int = 12000, epochs: int = 6, batch: int = 32) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p = {"w1": draw(DIM, 4 * SIZE), "u1": draw(SIZE, 4 * SIZE), "b1": np.zeros(4 * SIZE, np.float32), "w2": draw(DIM, 4 * SIZE), "u2": draw(SIZE, 4 * SIZE), "b2": np.zeros(4 * SIZE, np.float32), "v": draw(2 * SIZE, 1), "c": np.zeros(1, np.float32)}
@@ -138,6 +160,8 @@ def train(seed: int = 1, pages: int = 6000, epochs: int = 6, batch: int = 32) ->
             x, y, mask = np.zeros((steps, len(own), DIM), np.float32), np.zeros((steps, len(own)), np.float32), np.zeros((steps, len(own)), bool)
             for j, (xs, ys) in enumerate(own):
                 x[: len(ys), j], y[: len(ys), j], mask[: len(ys), j] = xs, ys, True
+            # places of the vectors are left out at random, so that no single class or word decides
+            x[:, :, : PATH_DIM + WORD_DIM] *= rng.random((1, len(own), PATH_DIM + WORD_DIM)) > 0.1
             k1, k2 = [], []
             h1 = forward(x, mask, p["w1"], p["u1"], p["b1"], k1)
             h2 = forward(x[::-1], mask[::-1], p["w2"], p["u2"], p["b2"], k2)[::-1]
