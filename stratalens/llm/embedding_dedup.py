@@ -15,31 +15,37 @@ TREES = 6
 SAMPLE = 20_000
 #: Vectors within this distance of a split, along its direction, go to both sides.
 SPILL = 0.02
-LEAF, BLOCK, DEEPEST = 256, 1024, 12
+LEAF, BLOCK = 256, 1024
+#: A tree has as many levels as its largest label needs, up to this: 2^20 leaves, or 8 MB of thresholds a tree.
+DEEPEST = 20
+#: Sample vectors that a node's threshold is taken from at least; a node with fewer takes those of its nearest ancestor.
+FEWEST = 8
 
 
 def grow(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions and thresholds of one tree's inner nodes, in heap order: random splits at the sample's medians."""
+    """A tree's directions, one a level, and thresholds of its inner nodes in heap order: splits at the sample's medians."""
     rng = np.random.default_rng(seed)
-    nodes = (1 << depth) - 1
-    way = rng.standard_normal((nodes, sample.shape[1]))
+    way = rng.standard_normal((depth, sample.shape[1]))
     way /= np.linalg.norm(way, axis=1, keepdims=True)
-    cut = np.zeros(nodes)
-    at = np.zeros(len(sample), np.int64)
-    for node in range(nodes):
-        own = np.flatnonzero(at == node)
-        if len(own):
-            x = sample[own] @ way[node]
-            cut[node] = np.median(x)
-            at[own] = 2 * node + 1 + (x > cut[node])
+    cut = np.zeros((1 << depth) - 1)
+    held = {0: np.arange(len(sample))}
+    for level in range(depth):
+        x = sample @ way[level]
+        below: dict[int, np.ndarray] = {}
+        for node, own in held.items():
+            cut[node] = np.median(x[own]) if len(own) else 0.0
+            right = x[own] > cut[node]
+            for child, part in ((2 * node + 1, own[~right]), (2 * node + 2, own[right])):
+                below[child] = part if len(part) >= FEWEST else own
+        held = below
     return way, cut
 
 
 def route(x: np.ndarray, way: np.ndarray, cut: np.ndarray, depth: int, spill: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, leaf) pairs; rows near a split appear on both sides."""
     rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for _ in range(depth):
-        far = np.einsum("ij,ij->i", x[rows], way[node]) - cut[node]
+    for level in range(depth):
+        far = (x @ way[level])[rows] - cut[node]
         left, right = far <= spill, far > -spill
         rows, node = np.concatenate((rows[left], rows[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
     return rows, node - ((1 << depth) - 1)

@@ -17,8 +17,7 @@ Path = tuple[str, ...]
 
 def word_count(text: Column) -> Column:
     """Runs of other than ASCII white space."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+", "")
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")) - F.when(trimmed.rlike(r"[\x20\x09-\x0D]$"), 1).otherwise(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def fill(total: int, parts: dict[str, tuple[float, int]]) -> dict[str, int]:
@@ -100,10 +99,12 @@ def mix_sources(
     spark = docs.sparkSession
     own = own_names(docs)
     n = word_count(F.col(text_col)) if tokens is None else tokens
+    # as n > 0, but read only as far as the first word
+    some = F.col(text_col).rlike(r"[^\x20\x09-\x0D]") if tokens is None else n > 0
     keys = [f"_level{k}" for k in range(len(levels))]
     leaf = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in zip(keys, levels.values(), strict=True)]
-    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], *leaf, n.alias("_tokens"), F.col(id_col).cast("string").alias("_id")).where("_tokens > 0")
-    slim = save(src.select(*keys, "_id", "_tokens"), "leaves")
+    rows = docs.where(some).select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], *leaf, n.alias("_tokens"), F.col(id_col).cast("string").alias("_id"))
+    slim = save(rows.select(*keys, "_id", "_tokens"), "leaves")
     held = {tuple(r[k] for k in keys): r["n"] for r in slim.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect()}
     given = budgets(held, weights, int(fraction * sum(held.values())), epochs)
     plan = []
@@ -131,7 +132,7 @@ def mix_sources(
     cut = cut.select(*keys, "_epoch", F.col("_u").alias("_cut"), (F.col("_want") - F.col("upto") + F.col("n")).alias("_last"))
     decided = save(wanted.join(cut, [*keys, "_epoch"], "left"), "decided")
     drop(slim)
-    placed = src.join(small(decided), keys).withColumn("_u", order(F.col("_id")))
+    placed = rows.join(small(decided), keys).withColumn("_u", order(F.col("_id")))
     result = [*own.values(), "_epoch", "_tokens"]
     whole = placed.where("_whole OR _u < _cut").select(*result, F.col("_tokens").alias("_take"))
     # rows at the place where the budget ends, as a rule one a leaf: running sums over each task's rows, then over tasks

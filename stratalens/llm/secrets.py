@@ -31,9 +31,10 @@ ALPHABETS = {
     "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 
-#: Of written language: the chance that two of its letters are equal, that three are, and that the class
-#: of characters (lower, upper, digit, sign) changes from one to the next.
-COINCIDENCE, TRIPLE, CHANGE = 0.065, 0.0056, 0.12
+#: Of words, names and paths, what a candidate is unless the tests say otherwise: the chance that two of its letters are
+#: equal, that three are, that the class of characters (lower, upper, digit, sign) changes from one to the next, and the
+#: serial correlation of neighbouring symbols.
+COINCIDENCE, TRIPLE, CHANGE, SERIAL = 0.065, 0.0056, 0.12, 0.2
 #: A token counts as random only if no test of uniformity is beyond this many standard deviations.
 STEADY = 3.5
 BINS, PER_DECADE = 400, 10
@@ -115,16 +116,23 @@ def _battery(found: DataFrame) -> DataFrame:
     serial = total(F.zip_with(now(F.col("x")), nxt(F.col("x")), lambda a, b: (a - mean) * (b - mean)))
     z = (F.when(spread > 0, serial / spread).otherwise(F.lit(1.0)) + 1 / n) * F.sqrt(n)
     steady = (chi < STEADY) & (F.abs(runs) < STEADY) & (F.abs(z) < STEADY)
-    # against language: too few coincidences (normal tail) and too many changes of class (binomial tail),
-    # each by an upper bound of its tail, combined by Fisher's product
+    # each test's p-value where the candidate is language, as an upper bound of its tail, on the side of randomness.
+    # Chi-squared too small: its only random part is the number of equal pairs, squares - n, with the mean and variance
+    # that language gives it.
     pairs = n * (n - 1)
-    low = (F.col("squares") - n - pairs * COINCIDENCE) / F.sqrt(2 * pairs * COINCIDENCE * (1 - COINCIDENCE) + 4 * pairs * (n - 2) * (TRIPLE - COINCIDENCE**2))
+    equal = (chi * F.sqrt(2 * (k - 1)) + n + (k - 1)) * n / k - n
+    low = (equal - pairs * COINCIDENCE) / F.sqrt(2 * pairs * COINCIDENCE * (1 - COINCIDENCE) + 4 * pairs * (n - 2) * (TRIPLE - COINCIDENCE**2))
     log1 = F.when(low < 0, -low * low / 2 - F.log(F.lit(2.0))).otherwise(F.lit(0.0))
+    # runs of one class too many
     share = F.col("change") / (n - 1)
     kl = F.when(share >= 1, -F.log(F.lit(CHANGE))).otherwise(share * F.log(share / CHANGE) + (1 - share) * F.log((1 - share) / (1 - CHANGE)))
     log2 = F.when(share > CHANGE, -(n - 1) * kl).otherwise(F.lit(0.0))
-    log_t = log1 + log2
-    log_p = log_t + F.log(1 - log_t)
+    # serial correlation too small
+    apart = z - SERIAL * F.sqrt(n)
+    log3 = F.when(apart < 0, -apart * apart / 2 - F.log(F.lit(2.0))).otherwise(F.lit(0.0))
+    # Fisher's product of three
+    log_t = log1 + log2 + log3
+    log_p = log_t + F.log(1 - log_t + log_t * log_t / 2)
     decades = F.least(F.greatest(-log_p / F.log(F.lit(10.0)), F.lit(0.0)), F.lit(float(BINS - 1) / PER_DECADE))
     return m.withColumn("steady", steady).withColumn("bin", F.floor(decades * PER_DECADE).cast("int")).withColumn("stratum", F.floor(F.log2("n")).cast("int"))
 
@@ -134,8 +142,9 @@ def scan_secrets(docs: DataFrame, false_discovery: float = 0.01, id_col: str = "
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind in the order of KINDS.
     Beyond the base patterns, a run of 20 or more token characters is a `random` span when it touches no
-    base span, passes uniformity (chi-squared over the alphabet of its inferred encoding, runs about the
-    middle, serial correlation) and is unlike language at the false-discovery rate asked for, controlled
+    base span, passes the battery as random (chi-squared over the alphabet of its inferred encoding, runs about the
+    middle, serial correlation) and fails it as language: chi-squared, runs of classes and serial correlation each give a
+    p-value, and their product is held to the false-discovery rate asked for
     by Benjamini and Hochberg's rule within strata of length over all candidates of the table. A run with
     signs of both base64 alphabets is a candidate over the 66 of both, and so is each part of 20 or more
     characters between the signs of either; spans that overlap become one. Digits alone are never random. Null texts are empty; a document without spans has counts of 0 and the hash

@@ -208,7 +208,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     names = save(symbols.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
     shared = maybe_in(symbols, "name", bitmap(names, "name", names.count())).join(names, "name", "left_semi")
     order = Window.partitionBy("d", "t1").orderBy("idx")
-    rows = shared.withColumn("row", F.col("idx") - F.row_number().over(order))
+    # rows that repeat a document have the same symbols: equal places count once
+    rows = shared.withColumn("row", F.col("idx") - F.dense_rank().over(order))
     ranges = rows.groupBy("d", "t1", "row").agg(F.min_by("before", "idx").alias("a"), F.max_by("after", "idx").alias("b"))
     ranges = ranges.select("d", "t1", "a", "b").union(symbols.where("name IS NULL").select("d", "t1", "before", "after")).where("b >= a")
     ranges = save(ranges.groupBy("d", "t1").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
