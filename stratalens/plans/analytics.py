@@ -263,7 +263,7 @@ TOKEN_BLOCK = 256
 @query(
     "token_fingerprint_pairs",
     """WITH t AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS tok FROM lineitem), s AS (SELECT a, count(*) AS n FROM t GROUP BY a),
-       df AS (SELECT tok FROM t GROUP BY tok HAVING count(*) <= 25),
+       df AS (SELECT tok FROM t GROUP BY tok),
        p AS (SELECT x.a AS a, y.a AS b, count(*) AS shared FROM t x JOIN df USING (tok) JOIN t y ON x.tok = y.tok AND x.a < y.a GROUP BY 1, 2),
        j AS (SELECT p.a, b, shared, round(shared / (s1.n + s2.n - shared), 6) AS score FROM p JOIN s s1 ON s1.a = p.a JOIN s s2 ON s2.a = p.b WHERE shared >= 1)
        SELECT a, b, shared, score FROM j WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 3""",
@@ -341,7 +341,7 @@ def _surprise(cell: pa.Table) -> pa.Table:
 @query(
     "surprise_pairs",
     """WITH p AS (SELECT p_partkey AS id, p_type AS grp, p_brand AS dir, p_size, list_distinct(string_split(lower(p_name), ' ')) AS toks FROM part WHERE p_retailprice > 0),
-       s AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY grp ORDER BY id) <= 10),
+       s AS (SELECT * FROM p),
        j AS (SELECT x.grp, x.id AS a, y.id AS b, round(0.5 * (1 - len(list_intersect(x.toks, y.toks)) / (len(x.toks) + len(y.toks) - len(list_intersect(x.toks, y.toks)))), 6) AS name_part,
              CASE WHEN x.dir = y.dir THEN 0.0 ELSE 0.35 END AS path_part, CASE WHEN x.p_size = y.p_size THEN 0.0 ELSE 0.15 END AS ext_part
              FROM s x JOIN s y ON x.grp = y.grp AND x.id < y.id)
