@@ -117,8 +117,8 @@ def _deltas(k: int):
 
 def _link_blocks(percent: int):
     def run(key, table):
-        """Links of a block of members outside the pivot's component with a block of any members: for each of the
-        former, one link to each component it reaches. Sets share base - minus - minus' + common deltas."""
+        """Links of a block of members outside the pivot's component with a block of any members: one for each two components
+        that they join, so fewer than there are members. Sets share base - minus - minus' + common deltas."""
         role = table.column("role").to_numpy()
         b, n, component = (table.column(c).to_numpy() for c in ("b", "n", "component"))
         base, minus = (table.column(c).to_numpy() for c in ("base", "minus"))
@@ -130,17 +130,22 @@ def _link_blocks(percent: int):
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
         left, right = [], []
+        # the component of each member of the block, as joined so far
+        label = np.unique(component, return_inverse=True)[1]
         for i in ours:
+            if (label[every] == label[i]).all():
+                continue
             own = flat[at[i] : at[i + 1]]
             lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
             size = hi - lo
             hits = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(own) else lo
             both = base[i] - minus[i] - minus[every] + np.bincount(owner[hits], minlength=len(every))
-            ok = (100 * both >= percent * (n[i] + n[every] - both)) & (component[every] != component[i])
+            ok = (100 * both >= percent * (n[i] + n[every] - both)) & (label[every] != label[i])
             found = every[ok]
-            _, first = np.unique(component[found], return_index=True)
+            reached, first = np.unique(label[found], return_index=True)
             left += [b[i]] * len(first)
             right += b[found[first]].tolist()
+            label[np.isin(label, reached)] = label[i]
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
@@ -152,10 +157,11 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = save(in_arrow(src.select("doc_id", "text", "t"), tidy(_signatures(k)), "doc_id long, t long, n long, s1 long, s2 long, low array<int>"), "signatures")
     d = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
-    # a class's number is its own, whatever ids repeat; it stays as written
+    # a class's number is its own, whatever ids repeat; it stays as written, and follows the order of first rows: a
+    # pivot, the smallest of its bucket, so is the first document, which copies are most often made from
     sets = rows.where("n > 0" + ("" if nulls else " AND doc_id IS NOT NULL")).groupBy("n", "s1", "s2")
     sets = sets.agg(F.min(F.struct(d.alias("d"), "t")).alias("first"), F.count("*").alias("size"), F.first("low").alias("low"))
-    sets = save(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    sets = save(sets.repartitionByRange("first").sortWithinPartitions("first").withColumn("rep", F.monotonically_increasing_id()), "sets")
     total = sets.agg(F.sum("size")).first()[0] or 0
 
     def band(c: int) -> str:
@@ -214,7 +220,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     two sets of a size agree in all 128 bits. Classes that share a table key meet at one
     member, their pivot: one pair a member, never all pairs; confirmed links give components. Members of a
     pivot that are outside its component are then compared, in blocks, with all its members, on their
-    full sets held as differences from the pivot's; tasks return one link for each component reached. Any two
+    full sets held as differences from the pivot's; tasks return one link for each two components joined. Any two
     classes that share a key share its pivot, so none of their links is lost.
     """
     rows, classes, total = _grouped(docs, k, percent, id_col, text_col, nulls=False)

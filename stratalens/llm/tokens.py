@@ -116,9 +116,11 @@ def chunks(texts: list[bytes], limit: int = 1 << 20):
 
 # -- the word-level BPE vocabulary ----------------------------------------------------------
 
-#: Words of these characters only: no combining, special-casing or white space to think of.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ¿¡«»]+")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+")
+#: Words of these characters only: no combining, special-casing or white space to think of. Newlines part words here.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ¿¡«»\n]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9\n]+|\n")
+#: Stands between the ids of words: no id has these bytes, nor do two neighbours.
+APART = b"\xff" * 4
 
 
 class WordBPE:
@@ -129,7 +131,7 @@ class WordBPE:
     word, and any that names a special token, goes to the tokenizers library.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -220,24 +222,22 @@ class WordBPE:
         return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
     def _learn(self, missing: list[bytes]) -> None:
-        plain, odd, owned = [], [], []
-        for w in missing:
-            s = w.decode("utf-8")
-            if PLAIN.fullmatch(s) and "<|" not in s:
-                found = PIECES.findall(s.lower())
-                owned.append((w, len(found)))
-                plain += found
-            else:
-                odd.append((w, s))
-        if plain:
-            distinct = list(dict.fromkeys(plain))
-            ids = dict(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True))
-            at = 0
-            for w, n in owned:
-                self.cache[w] = ids[plain[at]] if n == 1 else b"".join([ids[p] for p in plain[at : at + n]])
-                at += n
+        text = b"\n".join(missing).decode("utf-8")
+        odd: list[bytes] = []
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            plain = []
+            for w in missing:
+                s = w.decode("utf-8")
+                (plain if PLAIN.fullmatch(s) and "<|" not in s else odd).append(w)
+            missing, text = plain, b"\n".join(plain).decode("utf-8")
+        if missing:
+            found = PIECES.findall(text.lower())
+            distinct = dict.fromkeys(found)
+            distinct.pop("\n", None)
+            ids = dict(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True)) | {"\n": APART}
+            self.cache.update(zip(missing, b"".join(map(ids.__getitem__, found)).split(APART), strict=True))
         for k in range(0, len(odd), 1000):
-            for (w, _), e in zip(odd[k : k + 1000], self.slow.encode_batch([s for _, s in odd[k : k + 1000]], add_special_tokens=False), strict=True):
+            for w, e in zip(odd[k : k + 1000], self.slow.encode_batch([w.decode("utf-8") for w in odd[k : k + 1000]], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
