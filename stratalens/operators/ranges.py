@@ -19,15 +19,23 @@ def asof_containing(points: DataFrame, ranges: DataFrame, key: list[str], at: st
     return hit.withColumn(name, F.when(F.col("_last.e") >= F.col("_at"), F.col("_last.n"))).drop("_at", "_side", "_range", "_last")
 
 
-def containing(points: DataFrame, ranges: DataFrame, key: list[str], at: str, start: str, end: str, name: str, width: int, innermost: bool) -> DataFrame:
-    """points with `name` of the smallest (innermost) or else latest-starting range that holds them.
+def containing(points: DataFrame, ranges: DataFrame, key: list[str], at: str, start: str, end: str, name: str, innermost: bool) -> DataFrame:
+    """points with `name` of the smallest (innermost) or else latest-starting range that holds them, null if none does.
+    Points that repeat stay as often as they are there. Ties go to the range that starts first, then by name.
 
-    Ranges are listed once for each cell of `width` they touch, points have one cell: an equi-join on cells.
-    Ties go to the range that starts first, then by name.
+    A range of n places is listed in the one or two cells of the least power of two that is n or more; a point looks
+    into one cell of each size that occurs: an equi-join, however long a range is.
     """
-    cells = ranges.select(*key, start, end, name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_cell"))
-    pts = points.withColumn("_cell", F.floor(F.col(at) / width)).withColumn("_id", F.monotonically_increasing_id())
-    hits = pts.join(cells, [*key, "_cell"]).where(F.col(at).between(F.col(start), F.col(end)))
-    rank = F.struct((F.col(end) - F.col(start)).alias("size"), F.col(start), F.col(name)) if innermost else F.struct((-F.col(start)).alias("s"), F.col(end), F.col(name))
-    keep = [c for c in points.columns]
-    return hits.groupBy(*keep).agg(F.min_by(name, rank).alias(name))
+    size = F.ceil(F.log2(F.col(end) - F.col(start) + 1)).cast("int")
+    listed = ranges.where(F.col(end) >= F.col(start)).select(*key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias("_n"), size.alias("_size"))
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_size"))).cast("long")
+    listed = listed.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col("_s")), cell(F.col("_e"))))))
+    sizes = [r[0] for r in listed.select("_size").distinct().collect()]
+    own = points.columns
+    pts = points.groupBy(*own).agg(F.count("*").alias("_times"))
+    probes = pts.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array(F.lit(0)))).withColumn("_cell", cell(F.col(at)))
+    met = listed.withColumnsRenamed({k: f"_k{j}" for j, k in enumerate(key)} | {"_size": "_size2", "_cell": "_cell2"})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(key)] + [F.col("_size") == F.col("_size2"), F.col("_cell") == F.col("_cell2"), F.col(at).between(F.col("_s"), F.col("_e"))]
+    rank = F.struct((F.col("_e") - F.col("_s")).alias("a"), F.col("_s").alias("b"), F.col("_n")) if innermost else F.struct((-F.col("_s")).alias("a"), F.col("_e").alias("b"), F.col("_n"))
+    best = probes.join(met, on, "left").groupBy(*own).agg(F.first("_times").alias("_times"), F.min_by("_n", F.when(F.col("_s").isNotNull(), rank)).alias(name))
+    return best.select(*own, name, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_again")).drop("_again")

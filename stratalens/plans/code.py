@@ -41,7 +41,7 @@ def call_inventory(spark, sf_dir):
     """Call targets, inside the corpus or outside, with their sites."""
     c = corpus(spark)
     known = symbols(c).select(F.col("base_name").alias("callee")).distinct().withColumn("inside", F.lit(True))
-    g = call_sites(c).groupBy("callee").agg(F.count("*").alias("sites"), F.count_distinct("path").alias("files"))
+    g = call_sites(c, symbols(c)).groupBy("callee").agg(F.count("*").alias("sites"), F.count_distinct("path").alias("files"))
     return g.join(known, "callee", "left").select("callee", "sites", "files", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 

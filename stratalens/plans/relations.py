@@ -39,22 +39,22 @@ def asof_query(spark, sf_dir):
 
 @query(
     "latest_containing",
-    f"""WITH {SESSIONS} SELECT event_id, arg_min(name, (-start_at, end_at, name)) AS name FROM p JOIN r ON p.user_id = r.user_id AND pos BETWEEN start_at AND end_at GROUP BY event_id""",
+    f"""WITH {SESSIONS} SELECT event_id, arg_min(r.name, (-start_at, end_at, r.name)) AS name FROM p LEFT JOIN r ON p.user_id = r.user_id AND pos BETWEEN start_at AND end_at GROUP BY event_id""",
 )
 def latest_containing(spark, sf_dir):
     """Rule (b): the latest-starting range that holds the point."""
     p, r = _sessions(spark, sf_dir)
-    return containing(p, r, ["user_id"], "at", "start_at", "end_at", "name", 36_000, innermost=False).select("event_id", "name")
+    return containing(p, r, ["user_id"], "at", "start_at", "end_at", "name", innermost=False).select("event_id", "name")
 
 
 @query(
     "innermost_containing",
-    f"""WITH {SESSIONS} SELECT event_id, arg_min(name, (end_at - start_at, start_at, name)) AS name FROM p JOIN r ON p.user_id = r.user_id AND pos BETWEEN start_at AND end_at GROUP BY event_id""",
+    f"""WITH {SESSIONS} SELECT event_id, arg_min(r.name, (end_at - start_at, start_at, r.name)) AS name FROM p LEFT JOIN r ON p.user_id = r.user_id AND pos BETWEEN start_at AND end_at GROUP BY event_id""",
 )
 def innermost_containing(spark, sf_dir):
     """Rule (c): the smallest range that holds the point."""
     p, r = _sessions(spark, sf_dir)
-    return containing(p, r, ["user_id"], "at", "start_at", "end_at", "name", 36_000, innermost=True).select("event_id", "name")
+    return containing(p, r, ["user_id"], "at", "start_at", "end_at", "name", innermost=True).select("event_id", "name")
 
 
 @query(
