@@ -20,23 +20,43 @@ FIXTURE = {
 }
 
 
+# What the fixture holds, read off by hand.
+ROWS = {
+    "symbols": """('app/main.py','Runner','Runner',4,8,'class'),('app/main.py','Runner.run','run',5,8,'method'),('app/main.py','Runner.run.inner','inner',6,7,'function'),
+ ('app/main.py','main','main',10,12,'function'),('jv/Box.java','Box','Box',3,7,'class'),('jv/Box.java','size','size',4,6,'function'),('lib/add.c','add','add',4,7,'function'),
+ ('lib/add.c','twice','twice',9,11,'function'),('rb/tool.rb','greet','greet',1,3,'function'),('rs/lib.rs','load','load',3,5,'function'),('srv/main.go','help','help',11,13,'function'),
+ ('srv/main.go','main','main',7,9,'function'),('util/copy.py','clean','clean',3,5,'function'),('util/copy.py','glue','glue',7,8,'function'),('util/text.py','clean','clean',3,5,'function'),
+ ('util/text.py','join','join',7,8,'function'),('web/app.js','Server','Server',9,10,'class'),('web/app.js','start','start',4,7,'function'),('web/app.js','stop','stop',12,14,'function')""",
+    "sites": """('app/main.py',7,'clean','simple','Runner.run.inner'),('app/main.py',8,'inner','simple','Runner.run'),('app/main.py',8,'join','simple','Runner.run'),
+ ('app/main.py',11,'Runner','simple','main'),('app/main.py',12,'run','member','main'),('app/main.py',12,'listdir','member','main'),('util/text.py',5,'sub','member','clean'),
+ ('util/text.py',8,'join','member','join'),('util/text.py',8,'clean','simple','join'),('util/copy.py',5,'sub','member','clean'),('util/copy.py',8,'join','member','glue'),
+ ('util/copy.py',8,'clean','simple','glue'),('web/app.js',6,'get','simple','start'),('web/app.js',13,'start','simple','stop'),('lib/add.c',10,'add','simple','twice'),
+ ('srv/main.go',8,'Println','member','main'),('srv/main.go',8,'help','simple','main'),('jv/Box.java',5,'size','member','size'),('rb/tool.rb',2,'puts','simple','greet')""",
+    "imports": """('app/main.py',1,'py','os',NULL),('app/main.py',2,'py','util.text','util/text.py'),('jv/Box.java',1,'java','java.util.List',NULL),('lib/add.c',1,'c','stdio.h',NULL),
+ ('lib/add.c',2,'c','add.h','lib/add.c'),('rs/lib.rs',1,'rs','std::io::Read',NULL),('srv/main.go',4,'go','fmt',NULL),('util/copy.py',1,'py','re',NULL),('util/text.py',1,'py','re',NULL),
+ ('web/app.js',1,'js','./http.js',NULL),('web/app.js',2,'js','fs',NULL)""",
+}
+SQL = f"""WITH sym(path, name, base_name, s, e, type) AS (VALUES {ROWS["symbols"]}), site(path, line_no, callee, call_type, caller) AS (VALUES {ROWS["sites"]}),
+ imp(path, line_no, lang, module, target) AS (VALUES {ROWS["imports"]})"""
+
+
 def corpus(spark):
     return spark.createDataFrame(list(FIXTURE.items()), "path string, content string")
 
 
-@query("symbols")
+@query("symbols", f"{SQL} SELECT path, name, base_name, s::INT AS start, e::INT AS \"end\", type FROM sym")
 def symbols_query(spark, sf_dir):
     """Definitions with their ranges."""
     return symbols(corpus(spark))
 
 
-@query("imports")
+@query("imports", f"{SQL} SELECT path, line_no::INT AS line_no, lang, module FROM imp")
 def imports_query(spark, sf_dir):
     """Import statements by language."""
     return imports(corpus(spark))
 
 
-@query("call_inventory")
+@query("call_inventory", f"{SQL} SELECT callee, count(*) AS sites, count(DISTINCT path) AS files, callee IN (SELECT base_name FROM sym) AS inside FROM site GROUP BY callee")
 def call_inventory(spark, sf_dir):
     """Call targets, inside the corpus or outside, with their sites."""
     c = corpus(spark)
@@ -45,14 +65,14 @@ def call_inventory(spark, sf_dir):
     return g.join(known, "callee", "left").select("callee", "sites", "files", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
-@query("callers")
+@query("callers", f"{SQL} SELECT callee, path, line_no::INT AS line_no, call_type, caller FROM site WHERE callee IN (SELECT base_name FROM sym)")
 def callers_query(spark, sf_dir):
     """Calls of known names and the innermost function around each."""
     c = corpus(spark)
     return callers(c, symbols(c))
 
 
-@query("function_dupes")
+@query("function_dupes", "SELECT * FROM (VALUES (2::BIGINT, 1::BIGINT, 'util/copy.py:clean,util/text.py:clean'), (2, 2, 'util/copy.py:glue,util/text.py:join')) AS t(n, bodies, members)")
 def function_dupes(spark, sf_dir):
     """Functions by body and by structure."""
     c = corpus(spark)
@@ -61,7 +81,7 @@ def function_dupes(spark, sf_dir):
     return g.where("n > 1").select("n", "bodies", F.array_join("members", ",").alias("members"))
 
 
-@query("import_resolution")
+@query("import_resolution", f"{SQL} SELECT path, line_no::INT AS line_no, module, target, CASE WHEN target IS NULL THEN 'external' ELSE 'internal' END AS state FROM imp")
 def import_resolution(spark, sf_dir):
     """Imports met by a module of the corpus, by path suffix."""
     c = corpus(spark)

@@ -80,7 +80,6 @@ SQL = f"""WITH src(path, content) AS (VALUES {_values(PROJECT.items())}), sym(pa
  c AS (SELECT fn.*, coalesce(calls, 0) AS calls, count(*) OVER (PARTITION BY base_name) AS defs FROM fn LEFT JOIN cnt ON callee = base_name),
  around AS (SELECT a.path, a.name, arg_min(b.name, (b.e - b.s, -b.s)) AS container, arg_min(CASE WHEN b.type = 'class' THEN b.base_name END, CASE WHEN b.type = 'class' THEN b.e - b.s END) AS class_name
    FROM sym a LEFT JOIN sym b ON a.path = b.path AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e) GROUP BY 1, 2),
- dir AS (SELECT path, list_filter(string_split(path, '/')[:-2], x -> x <> '') AS d FROM src),
  known AS (SELECT * FROM site WHERE callee IN (SELECT base_name FROM sym)),
  called AS (SELECT k.*, (SELECT arg_min(f.name, f.e - f.s) FROM fn f WHERE f.path = k.path AND k.line_no BETWEEN f.s AND f.e) AS caller FROM known k),
  cand AS (SELECT q.path, q.line_no, q.callee, q.caller, t.path AS target_path, t.name AS target, t.s AS target_s,
