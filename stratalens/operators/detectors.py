@@ -26,6 +26,28 @@ PATTERNS = [
     ("datasets", "loader", True, r"\b(?:DataLoader|load_dataset)\("),
     ("infrastructure", "docker", True, r"^FROM\s+\S+"),
     ("infrastructure", "terraform", True, r'^resource\s+"'),
+    ("kernels", "cuda", True, r"\b__global__\b|<<<[^>]*>>>|\bcudaLaunchKernel\("),
+    ("kernels", "triton", True, r"@triton\.(?:jit|autotune)\b"),
+    ("kernels", "numba", True, r"@cuda\.jit\b"),
+    ("kernels", "device", False, r"\b__device__\b"),
+    ("multimodal", "vision", True, r"\b(?:CLIPModel|CLIPProcessor|ViTModel|pixel_values|image_processor)\b"),
+    ("multimodal", "audio", True, r"\b(?:WhisperProcessor|Wav2Vec2\w*|input_features|torchaudio)\b"),
+    ("multimodal", "media", False, r"\b(?:image|audio|video)_(?:path|url|file)\b"),
+    ("post-training", "adapter", True, r"\b(?:LoraConfig|get_peft_model|prepare_model_for_kbit_training)\b"),
+    ("post-training", "preference", True, r"\b(?:DPOTrainer|PPOTrainer|RewardTrainer|GRPOTrainer)\b"),
+    ("post-training", "concept", False, r"(?i)\b(?:rlhf|reward model|preference data|kl penalty)\b"),
+    ("reasoning", "chain", True, r"(?i)\bchain[- ]of[- ]thought\b"),
+    ("reasoning", "reflect", False, r"(?i)\bstep by step\b|\breflect on\b"),
+    ("llm", "sdk", True, r"\b(?:chat\.completions|messages|responses)\.create\("),
+    ("llm", "endpoint", True, r"/v1/(?:chat/completions|messages|completions)\b"),
+    ("llm", "model", False, r"\bmodel\s*="),
+    ("tools", "definition", True, r"^\s*@(?:\w+\.)?tool\b|\btool_choice\b|\binput_schema\b"),
+    ("tools", "dispatch", False, r"\btool_calls?\b"),
+    ("chains", "framework", True, r"\b(?:LLMChain|RunnableSequence|StateGraph|AgentExecutor|QueryEngine)\b"),
+    ("structured", "schema", True, r"\b(?:response_format|json_schema|with_structured_output)\b"),
+    ("structured", "parser", False, r"\b(?:PydanticOutputParser|JsonOutputParser|model_validate_json)\b"),
+    ("explain", "library", True, r"\b(?:shap\.\w*Explainer|LimeTextExplainer|IntegratedGradients|captum)\b"),
+    ("explain", "hook", False, r"\bregister_(?:forward|backward)_hook\("),
     ("notice", "licence", True, r"(?i)\blicen[sc]ed? under\b"),
     ("notice", "copyright", False, r"(?i)\bcopyright\b"),
     ("credential", "token", True, r"(?i)\btoken\s*="),

@@ -272,3 +272,18 @@ def sub_token_partition(spark, sf_dir):
     c = t.groupBy("grp", "sub").agg(F.count("*").alias("k")).join(g, "grp").where("k >= 3 AND k < 0.9 * n")
     w = Window.partitionBy("grp").orderBy(F.desc("k"), "sub")
     return c.withColumn("r", F.row_number().over(w)).where("r <= 5").select("grp", "sub", "k")
+
+
+MODEL_ID = r"\b(?:[a-z]+-)?(?:bert|gpt|llama|mistral|gemma|qwen|phi|t5|clip|whisper)-[A-Za-z0-9.]+(?:-[A-Za-z0-9.]+)*"
+
+
+@query(
+    "models_used",
+    f"""WITH {FILES}, m AS (SELECT path, lower(unnest(regexp_extract_all(content, '(?i){MODEL_ID}'))) AS model FROM files)
+        SELECT model, count(*) AS sites, count(DISTINCT path) AS files FROM m GROUP BY 1""",
+)
+def models_used(spark, sf_dir):
+    """Distinct ids of models over the corpus, with their sites."""
+    m = files(spark, sf_dir).select("path", F.explode(F.regexp_extract_all("content", F.lit(f"(?i){MODEL_ID}"), F.lit(0))).alias("model"))
+    per = m.groupBy(F.lower("model").alias("model"), "path").agg(F.count("*").alias("n"))
+    return per.groupBy("model").agg(F.sum("n").alias("sites"), F.count("*").alias("files"))

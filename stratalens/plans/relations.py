@@ -233,10 +233,11 @@ def caller_paths(spark, sf_dir):
 )
 def class_tree(spark, sf_dir):
     """The inheritance forest: every class with its root and depth. Recursion is the engine's own recursive query."""
-    table(spark, sf_dir, "nation").selectExpr("n_nationkey AS child", "CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - 1 END AS parent").createOrReplaceTempView("stratalens_class_edges")
+    e = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS child", "CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - 1 END AS parent")
     return spark.sql(
-        """WITH RECURSIVE walk(root, node, depth) AS (SELECT child, child, 0 FROM stratalens_class_edges WHERE parent IS NULL
-           UNION ALL SELECT root, e.child, depth + 1 FROM walk JOIN stratalens_class_edges e ON e.parent = node) SELECT root, node, depth FROM walk"""
+        """WITH RECURSIVE walk(root, node, depth) AS (SELECT child, child, 0 FROM {e} WHERE parent IS NULL
+           UNION ALL SELECT root, e.child, depth + 1 FROM walk JOIN {e} AS e ON e.parent = node) SELECT root, node, depth FROM walk""",
+        e=e,
     )
 
 
@@ -247,7 +248,8 @@ def class_tree(spark, sf_dir):
        SELECT root AS node, min(node) AS component FROM walk GROUP BY root""",
 )
 def connected_targets(spark, sf_dir):
-    """Components of targets that share a group: label propagation with a bounded number of rounds, each halving paths."""
+    """Components of targets that share a group: labels spread to neighbours and jump along labels, which about halves paths
+    a round, until none changes. Each round is cut by a checkpoint where the session names a folder for it."""
     o = table(spark, sf_dir, "orders").where("o_totalprice > 0")
     e = o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 7 * 100000 + F.floor(F.col("o_custkey") / 50)).alias("b")).distinct()
     both = e.union(e.select("b", "a")).distinct().cache()
