@@ -64,34 +64,52 @@ def language_share(spark, sf_dir):
     return per.join(per.agg(F.sum("chars").alias("n"))).select("ext", "chars", F.round(100.0 * F.col("chars") / F.col("n"), 2).alias("pct"))
 
 
-VOCABULARY = f"""WITH {FILES}, {TOKENS}, n AS (SELECT count(*) AS n FROM files),
- pf AS (SELECT path, token, count(*) AS c FROM tokens WHERE length(token) BETWEEN 3 AND 200 AND lower(token) NOT IN {STOPS}
-        AND NOT (length(token) >= 4 AND upper(token) = token) GROUP BY 1, 2),
- v AS (SELECT token, count(*) AS doc_freq, sum(c)::BIGINT AS total_count, max(c) AS most FROM pf GROUP BY token),
- s AS (SELECT token, doc_freq, total_count, round(doc_freq * log2(n / doc_freq) * length(token) ** 0.75, 2) AS score FROM v, n
-       WHERE doc_freq BETWEEN 2 AND greatest(5, floor(0.6 * n)))"""
+VOCABULARY = f"""WITH {FILES}, {TOKENS}, n AS (SELECT count(*) AS n, count(DISTINCT folder) AS corpora FROM files),
+ pf AS (SELECT path, any_value(folder) AS folder, token, count(*) AS c FROM tokens WHERE length(token) BETWEEN 3 AND 200 AND lower(token) NOT IN {STOPS}
+        AND NOT (length(token) >= 4 AND upper(token) = token) GROUP BY path, token),
+ v AS (SELECT token, count(*) AS doc_freq, sum(c)::BIGINT AS total_count, max(c) AS most, count(DISTINCT folder) AS held FROM pf GROUP BY token),
+ x AS (SELECT token, doc_freq, total_count, n, len(list_filter(string_split(regexp_replace(regexp_replace(token, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_'), lambda p: p <> '')) AS parts,
+       CASE WHEN held < 2 THEN 1.0::DOUBLE ELSE least(greatest(log2(corpora::DOUBLE / held) / log2(corpora::DOUBLE), 0.1), 1.0) END AS xw FROM v, n WHERE doc_freq BETWEEN 2 AND greatest(5, floor(0.6 * n))),
+ s AS (SELECT token, doc_freq, total_count, round(doc_freq * log2(n / doc_freq) * length(token) ** 0.75 * least(1 + 0.3 * (greatest(parts, 1) - 1), 2.5) * xw, 2) AS score FROM x)"""
+
+
+def _spoken(token):
+    """Tokens that may be vocabulary: of some length, no stop word, not all capitals."""
+    return F.length(token).between(3, 200) & ~F.lower(token).isin(STOP) & ~((F.length(token) >= 4) & (F.upper(token) == F.col(token)))
+
+
+def _per_file(spark, sf_dir):
+    return tokens(files(spark, sf_dir)).where(_spoken("token")).groupBy("path", "token").agg(F.count("*").alias("c"))
 
 
 def _vocabulary(spark, sf_dir):
+    """Frequencies and score of every identifier. Tokens are sorted within their document, so that a token's first place
+    there can be told, and all counts are combined map-side in one pass."""
     f = files(spark, sf_dir)
-    t = tokens(f).where(F.length("token").between(3, 200) & ~F.lower("token").isin(STOP) & ~((F.length("token") >= 4) & (F.upper("token") == F.col("token"))))
-    per_file = t.groupBy("path", "token").agg(F.count("*").alias("c"))
-    v = per_file.groupBy("token").agg(F.count("*").alias("doc_freq"), F.sum("c").alias("total_count"))
-    n = f.agg(F.count("*").alias("n"))
+    own = f.select("folder", F.sort_array(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("ts"))
+    each = own.select("folder", F.explode(F.transform("ts", lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get(F.col("ts"), i - 1) != t)).alias("first")))).alias("e")).select("folder", "e.*")
+    by_folder = each.where(_spoken("token")).groupBy("token", "folder").agg(F.count_if("first").alias("d"), F.count("*").alias("c"))
+    v = by_folder.groupBy("token").agg(F.sum("d").alias("doc_freq"), F.sum("c").alias("total_count"), F.count("folder").alias("held"))
+    n = f.agg(F.count("*").alias("n"), F.count_distinct("folder").alias("corpora"))
     kept = v.join(F.broadcast(n)).where((F.col("doc_freq") >= 2) & (F.col("doc_freq") <= F.greatest(F.lit(5), F.floor(0.6 * F.col("n")))))
-    return kept.withColumn("score", F.round(F.col("doc_freq") * F.log2(F.col("n") / F.col("doc_freq")) * F.pow(F.length("token"), F.lit(0.75)), 2)), per_file
+    pieces = F.split(F.regexp_replace(F.regexp_replace("token", "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z])([A-Z][a-z])", "$1_$2"), "_")
+    parts = F.greatest(F.size(F.filter(pieces, lambda p: p != "")), F.lit(1))
+    compound = F.least(1 + 0.3 * (parts - 1), F.lit(2.5))
+    weight = F.when(F.col("held") < 2, F.lit(1.0)).otherwise(F.least(F.greatest(F.log2(F.col("corpora") / F.col("held")) / F.log2("corpora"), F.lit(0.1)), F.lit(1.0)))
+    score = F.col("doc_freq") * F.log2(F.col("n") / F.col("doc_freq")) * F.pow(F.length("token"), F.lit(0.75)) * compound * weight
+    return kept.withColumn("score", F.round(score, 2))
 
 
 @query("vocabulary", VOCABULARY + " SELECT token, doc_freq, total_count, score FROM s")
 def vocabulary(spark, sf_dir):
     """Document and total frequency and score of every identifier within the bounds."""
-    return _vocabulary(spark, sf_dir)[0].select("token", "doc_freq", "total_count", "score")
+    return _vocabulary(spark, sf_dir).select("token", "doc_freq", "total_count", "score")
 
 
 @query("vocabulary_top", VOCABULARY + " SELECT token, doc_freq, score FROM s ORDER BY score DESC, token LIMIT 50")
 def vocabulary_top(spark, sf_dir):
     """The fifty best."""
-    return _vocabulary(spark, sf_dir)[0].select("token", "doc_freq", "score").orderBy(F.desc("score"), "token").limit(50)
+    return _vocabulary(spark, sf_dir).select("token", "doc_freq", "score").orderBy(F.desc("score"), "token").limit(50)
 
 
 @query(
@@ -101,7 +119,7 @@ def vocabulary_top(spark, sf_dir):
 )
 def vocabulary_density(spark, sf_dir):
     """Each file's sum of scores by the share of the token's uses that it has."""
-    v, per_file = _vocabulary(spark, sf_dir)
+    v, per_file = _vocabulary(spark, sf_dir), _per_file(spark, sf_dir)
     j = per_file.join(v.select("token", "score", "total_count"), "token")
     return j.groupBy("path").agg(F.round(F.sum(F.col("score") * F.col("c") / F.col("total_count")), 4).alias("density"), F.count("*").alias("terms"))
 
@@ -114,7 +132,7 @@ def vocabulary_density(spark, sf_dir):
 )
 def vocabulary_places(spark, sf_dir):
     """The three files that use each token most."""
-    v, per_file = _vocabulary(spark, sf_dir)
+    v, per_file = _vocabulary(spark, sf_dir), _per_file(spark, sf_dir)
     w = Window.partitionBy("token").orderBy(F.desc("c"), "path")
     ranked = per_file.join(v.select("token"), "token", "left_semi").withColumn("rank", F.row_number().over(w))
     return ranked.where("rank <= 3").select("token", "path", F.col("c").alias("uses"), "rank")
@@ -128,7 +146,9 @@ def vocabulary_places(spark, sf_dir):
 def cross_corpus_weight(spark, sf_dir):
     """How many corpora (folders) hold a token, and the weight that follows."""
     f = files(spark, sf_dir)
-    d = tokens(f).select("token", "folder").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df >= 2")
+    # each token of a document once, before anything is shuffled
+    own = f.select("folder", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("token"))
+    d = own.select("token", "folder").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df >= 2")
     n = f.agg(F.count_distinct("folder").alias("n"))
     w = F.least(F.greatest(F.log2(F.col("n") / F.col("df")) / F.log2("n"), F.lit(0.1)), F.lit(1.0))
     return d.join(F.broadcast(n)).select("token", "df", F.round(w, 6).alias("weight"))
