@@ -131,7 +131,7 @@ class WordBPE:
     word, and any that names a special token, goes to the tokenizers library.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
