@@ -131,7 +131,7 @@ class WordBPE:
     word, and any that names a special token, goes to the tokenizers library.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -243,7 +243,7 @@ class WordBPE:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a full cache keeps only words that have just come again."""
         out = []
-        for a, b in chunks(texts, 4 << 20):
+        for a, b in chunks(texts, 2 << 20):
             split = [t.split() for t in texts[a:b]]
             every = set().union(*split)
             missing = every.difference(self.cache)
