@@ -18,11 +18,12 @@ from .tokens import tidy, word_bpe
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, cached_words: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         bpe, part, seen = word_bpe(path), TaskContext.get().partitionId(), Counter()
+        bpe.keep = cached_words
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank")}
             texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -182,7 +183,7 @@ def _place(rows: np.ndarray):
     return run
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 400_000) -> DataFrame:
     """Pack every document into sequences of at most capacity tokens; one row per piece.
 
     A document is its ids and end_id; only longer ones are cut, into full pieces and a last shorter one.
@@ -190,10 +191,11 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     An empty table gives an empty result. Only the length histogram (at most capacity rows) and the plan
     built from it (bounded by the lengths too) are on the driver. A piece's rank among those of its
     length is its rank in its task's output plus the counts of earlier tasks, so no length, however
-    frequent, is ever sorted in one task.
+    frequent, is ever sorted in one task. A worker keeps the ids of about cached_words words, some 200 bytes each: results
+    are the same with any number, fewer take more time.
     """
     spark = docs.sparkSession
-    pieces = save(in_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tidy(_pieces(tokenizer, capacity, end_id)), PIECE), "pieces")
+    pieces = save(in_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tidy(_pieces(tokenizer, capacity, end_id, cached_words)), PIECE), "pieces")
     per = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     counts = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("n")).collect()}
     rows, _ = plan(counts, capacity)
