@@ -45,8 +45,8 @@ def mixing(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    """Sequences of at most 4096 tokens; a null text is one end token."""
-    return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Sequences of at most 4096 tokens; a null text is one end token. Workers serve all stages, so few words are cached."""
+    return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=150_000)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mixing", mixing), ("packing", packing)]
