@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 JSON = "dependencies map<string,string>, devDependencies map<string,string>"
 LOCK = "packages map<string, struct<version:string, dependencies:map<string,string>>>"
+COMPOSER = "packages array<struct<name:string, version:string, require:map<string,string>>>, `packages-dev` array<struct<name:string, version:string, require:map<string,string>>>"
+PIPENV = "`default` map<string, struct<version:string>>, develop map<string, struct<version:string>>"
+# Requirements of a platform, which are no packages.
+PLATFORM = "(?i)^(?:php|hhvm|ext-|lib-|composer-)"
 
 
 def declared(corpus: DataFrame) -> DataFrame:
@@ -20,12 +24,49 @@ def declared(corpus: DataFrame) -> DataFrame:
     return both[0].union(both[1]).union(py).union(go)
 
 
-def locked(corpus: DataFrame) -> DataFrame:
-    """(path, package, version, depends_on) of package-lock.json files; the root package has an empty name."""
-    js = corpus.where(F.col("path").rlike(r"(^|/)package-lock\.json$")).withColumn("j", F.from_json("content", LOCK))
+def _npm(corpus: DataFrame) -> DataFrame:
+    js = corpus.where(F.col("path").rlike(r"(?i)(^|/)(package-lock|npm-shrinkwrap)\.json$")).withColumn("j", F.from_json("content", LOCK))
     own = js.select("path", F.explode("j.packages").alias("at", "p"))
-    name = F.regexp_replace("at", r"^.*node_modules/", "")
-    return own.select("path", name.alias("package"), "p.version", F.explode_outer(F.map_keys("p.dependencies")).alias("depends_on"))
+    return own.select("path", F.regexp_replace("at", r"^.*node_modules/", "").alias("package"), "p.version", F.explode_outer(F.map_keys("p.dependencies")).alias("depends_on"))
+
+
+def _composer(corpus: DataFrame) -> DataFrame:
+    js = corpus.where(F.col("path").rlike(r"(?i)(^|/)composer\.lock$")).withColumn("j", F.from_json("content", COMPOSER))
+    own = js.select("path", F.explode(F.concat(F.coalesce("j.packages", F.array()), F.coalesce(F.col("j.`packages-dev`"), F.array()))).alias("p")).where("p.name IS NOT NULL")
+    real = F.filter(F.map_keys("p.require"), lambda n: ~n.rlike(PLATFORM))
+    return own.select("path", F.col("p.name").alias("package"), "p.version", F.explode_outer(real).alias("depends_on"))
+
+
+def _pipenv(corpus: DataFrame) -> DataFrame:
+    js = corpus.where(F.col("path").rlike(r"(?i)(^|/)pipfile\.lock$")).withColumn("j", F.from_json("content", PIPENV))
+    both = [js.select("path", F.explode(f"j.{k}").alias("package", "p")) for k in ("`default`", "develop")]
+    return both[0].union(both[1]).select("path", "package", F.regexp_replace("p.version", "^==", "").alias("version"), F.lit(None).cast("string").alias("depends_on"))
+
+
+def _go_sums(corpus: DataFrame) -> DataFrame:
+    line = corpus.where(F.col("path").rlike(r"(?i)(^|/)go\.sum$")).select("path", F.explode(F.split("content", r"\r?\n")).alias("line"))
+    sums = line.where(F.col("line").rlike(r"^\S+\s+v\S+\s+h1:") & ~F.col("line").rlike(r"^\S+\s+v\S+/go\.mod\s"))
+    at = lambda k: F.regexp_extract("line", r"^(\S+)\s+(v\S+)\s+h1:", k)
+    return sums.select("path", at(1).alias("package"), at(2).alias("version"), F.lit(None).cast("string").alias("depends_on")).distinct()
+
+
+def _blocks(corpus: DataFrame, file: str, dependencies: str, item: str) -> DataFrame:
+    """Packages of a lockfile in [[package]] blocks; the first group of `dependencies` holds the items."""
+    block = corpus.where(F.col("path").rlike(file)).select("path", F.explode(F.slice(F.split("content", r"(?m)^\s*\[\[package\]\]\s*$"), F.lit(2), F.lit(1 << 30))).alias("b"))
+    value = lambda k: F.nullif(F.regexp_extract("b", rf'(?m)^\s*{k}\s*=\s*"([^"]+)"', 1), F.lit(""))
+    needs = F.regexp_extract_all(F.regexp_extract("b", dependencies, 1), F.lit(item), F.lit(1))
+    return block.select("path", value("name").alias("package"), value("version").alias("version"), F.explode_outer(needs).alias("depends_on")).where("package IS NOT NULL")
+
+
+def locked(corpus: DataFrame) -> DataFrame:
+    """(path, package, version, depends_on) of lockfiles: npm (its root package has an empty name), Composer, Pipenv, Go sums,
+    Cargo and Poetry. Null depends_on: none are recorded. A file that cannot be read as its kind has no rows."""
+    cargo = _blocks(corpus, r"(?i)(^|/)cargo\.lock$", r"(?ms)^\s*dependencies\s*=\s*\[(.*?)\]", r'"([^"\s]+)[^"]*"')
+    poetry = _blocks(corpus, r"(?i)(^|/)poetry\.lock$", r"(?ms)^\s*\[package\.dependencies\]\s*$(.*?)(?=^\s*\[|\z)", r'(?m)^\s*"?([A-Za-z0-9_.-]+)"?\s*=')
+    out = _npm(corpus)
+    for kind in (_composer(corpus), _pipenv(corpus), _go_sums(corpus), cargo, poetry):
+        out = out.union(kind)
+    return out
 
 
 def chains(edges: DataFrame, depth: int = 40) -> DataFrame:
