@@ -42,3 +42,50 @@ def elements(found: DataFrame) -> DataFrame:
     """(doc, n, element, text): a claim's parts, at `;`, `(a)` marks or line breaks."""
     parts = F.filter(F.transform(F.split("text", r";\s*(?:and\s+)?|\n+|\s+(?=\([a-z]\)\s)"), lambda s: F.trim(s)), lambda s: s != "")
     return found.select("doc", "n", F.posexplode(parts).alias("at", "text")).select("doc", "n", (F.col("at") + 1).alias("element"), "text")
+
+
+def scorecard(chart: DataFrame, labels: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row a claim: how much of what was expected a chart found and cited.
+
+    chart: (claim, element, class, target, label, agreeing), the verdict that each element ended with, and how many
+    targets said PRESENT; labels: (claim, element, target, label), every target that was looked at, its element null if
+    it has no verdict; anchors: (claim, target), the targets expected. Rows without a claim, chart rows without an
+    element and repeated anchors do not count; recall is null where nothing was expected.
+    """
+    key = ["claim", "target"]
+    wanted = anchors.select(*key).dropna().distinct()
+    at = labels.join(wanted, key, "left_semi")
+    backed = at.where("label = 'PRESENT' AND element IS NOT NULL").select("claim", "element").distinct().withColumn("backed", F.lit(True))
+    rows = chart.where("claim IS NOT NULL AND element IS NOT NULL").join(wanted.withColumn("expected", F.lit(True)), key, "left").join(backed, ["claim", "element"], "left")
+    own, there = F.col("class") == "mechanism", F.col("label") == "PRESENT"
+    on, kept = F.coalesce("expected", F.lit(False)), F.coalesce("backed", F.lit(False))
+    counts = {
+        "elements": F.lit(True),
+        "mechanism_rows": own,
+        "mechanism_present": own & there,
+        "present_on_anchor": own & there & on,
+        "present_elsewhere": own & there & ~on,
+        "anchor_supported": own & kept,
+        "generic_rows": F.col("class") == "generic",
+        "generic_present": (F.col("class") == "generic") & there,
+        "lone_present": there & (F.col("agreeing") <= 1),
+    }
+    per = rows.groupBy("claim").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
+    n = wanted.groupBy("claim").agg(F.count("*").alias("anchors"))
+    met = at.select(*key).distinct().groupBy("claim").agg(F.count("*").alias("retrieved"))
+    j = per.join(n, "claim", "full").join(met, "claim", "left").fillna(0)
+    return j.withColumn("recall", F.when(F.col("anchors") > 0, F.round(F.col("retrieved") / F.col("anchors"), 2)))
+
+
+def cost(usage: DataFrame, rates: list[tuple[str, float, float]], default: tuple[float, float]) -> DataFrame:
+    """usage with in_tokens, out_tokens and usd. Rates are (pattern, input, output) a million tokens; the first pattern
+    that a model's name matches counts, else the default. Cached tokens cost a tenth of input when read and five quarters
+    when written. Null counts are 0."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    into, out = F.lit(default[0]), F.lit(default[1])
+    for pattern, i, o in reversed(rates):
+        hit = F.coalesce(F.col("model"), F.lit("")).rlike(f"(?i){pattern}")
+        into, out = F.when(hit, i).otherwise(into), F.when(hit, o).otherwise(out)
+    read, write = n("cache_read"), n("cache_write")
+    usd = (n("input") * into + read * into * 0.1 + write * into * 1.25 + n("output") * out) / 1e6
+    return usage.select("*", (n("input") + read + write).alias("in_tokens"), n("output").alias("out_tokens"), usd.alias("usd"))

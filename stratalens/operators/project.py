@@ -56,3 +56,13 @@ def renamed_hits(corpus: DataFrame, renames: DataFrame, pattern: str) -> DataFra
     in a join, so any number of them may match."""
     wanted = renames.where(F.col("display").rlike(pattern)).select(F.col("name").alias("token")).distinct()
     return tokens(corpus).join(wanted, "token", "left_semi").groupBy("path", "token").agg(F.count("*").alias("uses"))
+
+
+def profile(symbols: DataFrame, extensions: int = 6, folders: int = 10) -> DataFrame:
+    """(kind, value, n): the extensions and the folders (their last two parts, for paths of more than two) with the most
+    symbols; ties go by name. Within an archive the path inside counts. A report of the top few."""
+    p = F.element_at(F.split("path", "!"), -1)
+    ext = F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1)
+    folder = F.regexp_extract(p, r"^(?:.*/)?([^/]*/[^/]*)/[^/]*$", 1)
+    top = lambda c, kind, k: symbols.groupBy(c.alias("value")).agg(F.count("*").alias("n")).where("value <> ''").orderBy(F.desc("n"), "value").limit(k).select(F.lit(kind).alias("kind"), "value", "n")
+    return top(ext, "extension", extensions).union(top(folder, "folder", folders))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as fn
+from stratalens.operators import claims
 from stratalens.operators import project as ops
 from stratalens.operators.corpus import files
 from stratalens.plans.functions import PROJECT, _values
@@ -126,3 +127,53 @@ def display_names(spark, sf_dir):
 def rename_expansion(spark, sf_dir):
     """Uses of the originals of every display name that a query matches."""
     return ops.renamed_hits(files(spark, sf_dir), spark.createDataFrame(list(RENAMES.items()), "name string, display string"), "_KW_")
+
+
+@query(
+    "corpus_profile",
+    f"""WITH {FILES}, p AS (SELECT path || '.' || ext AS path FROM files), e AS (SELECT regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) AS value, count(*) AS n FROM p GROUP BY 1),
+        d AS (SELECT string_split(path, '/')[-3] || '/' || string_split(path, '/')[-2] AS value, count(*) AS n FROM p WHERE len(string_split(path, '/')) > 2 GROUP BY 1)
+        SELECT * FROM (SELECT 'extension' AS kind, value, n FROM e WHERE value <> '' ORDER BY n DESC, value LIMIT 6) UNION ALL SELECT * FROM (SELECT 'folder' AS kind, value, n FROM d ORDER BY n DESC, value LIMIT 10)""",
+)
+def corpus_profile(spark, sf_dir):
+    """The extensions and folders that most documents are in."""
+    return ops.profile(files(spark, sf_dir).select(F.concat("path", F.lit("."), "ext").alias("path")))
+
+
+# Two charts, what each target was given, and the targets expected.
+CHART = "(1,1,'mechanism','a','PRESENT',2),(1,2,'mechanism','x','PRESENT',1),(1,3,'generic','b','PRESENT',1),(1,4,'mechanism',NULL,'ABSENT',NULL),(1,NULL,'preamble','a','PRESENT',3),(2,1,'generic','z','PARTIAL',0)"
+LABELS = "(1,1,'a','PRESENT'),(1,2,'x','PRESENT'),(1,2,'b','PARTIAL'),(1,4,'b','PRESENT'),(1,NULL,'c','NONE'),(2,1,'z','PARTIAL')"
+ANCHORS = "(1,'a'),(1,'b'),(1,'d'),(1,'a'),(3,'q')"
+
+
+@query(
+    "chart_scorecard",
+    f"""WITH c(claim, element, class, target, label, agreeing) AS (VALUES {CHART}), l(claim, element, target, label) AS (VALUES {LABELS}), a(claim, target) AS (SELECT DISTINCT * FROM (VALUES {ANCHORS})),
+        r AS (SELECT c.*, EXISTS (FROM a WHERE a.claim = c.claim AND a.target = c.target) AS hit, EXISTS (FROM l JOIN a USING (claim, target) WHERE l.claim = c.claim AND l.element = c.element AND l.label = 'PRESENT') AS backed FROM c WHERE element IS NOT NULL),
+        k AS (SELECT claim FROM r UNION SELECT claim FROM a), n AS (SELECT claim, (SELECT count(*) FROM a WHERE a.claim = k.claim) AS anchors, (SELECT count(DISTINCT l.target) FROM l JOIN a USING (claim, target) WHERE l.claim = k.claim) AS retrieved FROM k)
+        SELECT n.claim, anchors, retrieved, CASE WHEN anchors > 0 THEN round(retrieved / anchors, 2) END AS recall, count(element) AS elements, count(*) FILTER (class = 'mechanism') AS mechanism_rows,
+               count(*) FILTER (class = 'mechanism' AND label = 'PRESENT') AS mechanism_present, count(*) FILTER (class = 'mechanism' AND label = 'PRESENT' AND hit) AS present_on_anchor,
+               count(*) FILTER (class = 'mechanism' AND label = 'PRESENT' AND NOT hit) AS present_elsewhere, count(*) FILTER (class = 'mechanism' AND backed) AS anchor_supported,
+               count(*) FILTER (class = 'generic') AS generic_rows, count(*) FILTER (class = 'generic' AND label = 'PRESENT') AS generic_present, count(*) FILTER (label = 'PRESENT' AND agreeing <= 1) AS lone_present
+        FROM n LEFT JOIN r USING (claim) GROUP BY ALL""",
+)
+def chart_scorecard(spark, sf_dir):
+    """How much of what was expected each chart found and cited."""
+    given = lambda v, names: spark.sql(f"SELECT * FROM VALUES {v} AS t({names})")
+    return claims.scorecard(given(CHART, "claim, element, class, target, label, agreeing"), given(LABELS, "claim, element, target, label"), given(ANCHORS, "claim, target"))
+
+
+RATES = [("small-[0-9]-lite", 0.1, 0.4), ("small-[0-9]", 0.3, 2.5), ("^big", 5.0, 25.0)]
+USAGE = "('Small-2-lite',1000,200,NULL,0),('small-2',1000,200,500,100),('big-1',5,NULL,0,0),('my-big-1',1000000,0,0,0),(NULL,10,10,10,10)"
+
+
+@query(
+    "usage_cost",
+    f"""WITH u(model, input, output, cache_read, cache_write) AS (VALUES {USAGE}), z AS (SELECT *, coalesce(input, 0) AS i, coalesce(output, 0) AS o, coalesce(cache_read, 0) AS r, coalesce(cache_write, 0) AS w FROM u),
+        p AS (SELECT *, CASE WHEN regexp_matches(model, '(?i)small-[0-9]-lite') THEN 1 WHEN regexp_matches(model, '(?i)small-[0-9]') THEN 2 WHEN regexp_matches(model, '(?i)^big') THEN 3 ELSE 4 END AS k FROM z),
+        q AS (SELECT *, [0.1, 0.3, 5.0, 2.0][k]::DOUBLE AS a, [0.4, 2.5, 25.0, 8.0][k]::DOUBLE AS b FROM p)
+        SELECT model, input, output, cache_read, cache_write, i + r + w AS in_tokens, o AS out_tokens, (i * a + r * a * 0.1 + w * a * 1.25 + o * b) / 1e6 AS usd FROM q""",
+)
+def usage_cost(spark, sf_dir):
+    """What usage of models costs at stated rates."""
+    return claims.cost(spark.sql(f"SELECT * FROM VALUES {USAGE} AS t(model, input, output, cache_read, cache_write)"), RATES, (2.0, 8.0))

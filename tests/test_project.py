@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as fn
-from stratalens.operators import project
+from stratalens.operators import claims, project
 from stratalens.sources import manifests
 
 FILES = "path string, content string"
@@ -33,3 +33,16 @@ def test_renames_and_relevance(spark):
     assert spark.range(1).select(fn.relevance(F.lit("merging"), ["merge"]).alias("v")).first().v == 0.6
     assert spark.range(1).select(fn.relevance(F.lit("x"), []).alias("v")).first().v == 0.0
     assert [r.l for r in spark.createDataFrame([("",), (None,), ("no url",)], "u string").select(fn.library(F.col("u")).alias("l")).collect()] == [None, None, None]
+
+
+def test_scorecard_cost_and_profile_take_nulls_and_empty_tables(spark):
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    chart, labels, anchors = "claim int, element int, class string, target string, label string, agreeing int", "claim int, element int, target string, label string", "claim int, target string"
+    assert claims.scorecard(made([], chart), made([], labels), made([], anchors)).count() == 0
+    got = claims.scorecard(made([(None, 1, "generic", "a", "PRESENT", 1), (1, 1, None, None, None, None)], chart), made([(1, 1, None, None)], labels), made([(1, None)], anchors)).collect()
+    assert [(r.claim, r.elements, r.anchors, r.retrieved, r.recall, r.lone_present) for r in got] == [(1, 1, 0, 0, None, 0)]
+    usage = "model string, input int, output int, cache_read int, cache_write int"
+    assert claims.cost(made([], usage), [], (1.0, 1.0)).count() == 0
+    assert [r.usd for r in claims.cost(made([(None, 10**6, None, None, None)], usage), [("x", 9.0, 9.0)], (1.0, 2.0)).collect()] == [1.0]
+    paths = made([(None,), ("a/b/c.py",), ("z.zip!a/b/d.py",), ("b/c.js",), ("x",), ("",)], "path string")
+    assert sorted(tuple(r) for r in project.profile(paths).collect()) == [("extension", "js", 1), ("extension", "py", 2), ("folder", "a/b", 2)]
