@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -316,13 +318,14 @@ def token_fingerprint_pairs(spark, sf_dir):
     return j.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared", "score")
 
 
-#: Members of a group that meet as many others in a task.
+#: Kinds of members of a group that meet as many others in a task.
 MEMBER_BLOCK = 2048
 
 
 def _surprise(cell: pa.Table) -> pa.Table:
-    """Peak, sum and number of scores, and number of pairs, of two blocks of a group's members or of one with itself."""
-    ids, own = cell.column("id").to_numpy(), cell.column("own").to_numpy()
+    """Peak, sum in millionths and number of scores, and number of pairs, of two blocks of a group's kinds of members or of
+    one with itself. A kind stands for `n` members; one with an id, for members of that id, which are no pairs of their own."""
+    own, n = cell.column("own").to_numpy(), cell.column("n").to_numpy()
     first, second = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     toks = cell.column("toks").to_pylist()
     named = np.array([t is not None for t in toks])
@@ -335,27 +338,37 @@ def _surprise(cell: pa.Table) -> pa.Table:
     left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
     # codes of the values; a null differs from all
     same = {}
-    for c in ("dir", "size"):
+    for c in ("dir", "size", "id"):
         v = cell.column(c).combine_chunks().dictionary_encode()
         same[c] = (v.indices.fill_null(-1).to_numpy(), v.indices.is_valid().to_numpy(zero_copy_only=False))
-    peak, total, n, pairs = None, 0.0, 0, 0
+    alike = lambda c, a: (same[c][0][a][:, None] == same[c][0][right]) & same[c][1][a][:, None] & same[c][1][right]
+    peak, total, scores, pairs = None, 0, 0, 0
+    times = n[right].astype(np.float64)
     for k in range(0, len(left), 256):
         a = left[k : k + 256]
-        ok = ids[a][:, None] < ids[right]
-        if first != second:
-            ok = ids[a][:, None] != ids[right]
-        pairs += int(ok.sum())
-        ok &= named[a][:, None] & named[right]
+        # of one block, each two kinds once; members of one kind meet each other n (n - 1) / 2 times
+        ok = (a[:, None] < right if first == second else np.ones((len(a), len(right)), bool)) & ~alike("id", a)
         both = (has[a] @ has[right].T).astype(np.float64)
         with np.errstate(all="ignore"):
             v = np.round(0.5 * (1 - both / (count[a][:, None] + count[right] - both)), 6)
         for c, weight in (("dir", 0.35), ("size", 0.15)):
-            x, known = same[c]
-            v = v + np.where((x[a][:, None] == x[right]) & known[a][:, None] & known[right], 0.0, weight)
-        v = v[ok]
-        if len(v):
-            peak, total, n = max(float(v.max()), peak or 0.0), total + float(v.sum()), n + len(v)
-    return pa.table({"grp": cell.column("grp")[:1], "peak": pa.array([peak], pa.float64()), "total": [total], "n": pa.array([n], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
+            v = v + np.where(alike(c, a), 0.0, weight)
+        known = ok & named[a][:, None] & named[right]
+        of = [int(m) for m in n[a]]
+        whole = np.where(known, np.rint(np.nan_to_num(v) * 1e6), 0.0)
+        pairs += sum(m * int(x) for m, x in zip(of, ok @ times))
+        scores += sum(m * int(x) for m, x in zip(of, known @ times))
+        total += sum(m * int(x) for m, x in zip(of, whole @ times))
+        if known.any():
+            peak = max(float(v[known].max()), peak or 0.0)
+    if first == second:
+        for k in left[(n[left] > 1) & ~same["id"][1][left]]:
+            m = int(n[k]) * (int(n[k]) - 1) // 2
+            pairs += m
+            if named[k]:
+                v = (0.0 if same["dir"][1][k] else 0.35) + (0.0 if same["size"][1][k] else 0.15)
+                scores, total, peak = scores + m, total + m * round(v * 1e6), max(v, peak or 0.0)
+    return pa.table({"grp": cell.column("grp")[:1], "peak": pa.array([peak], pa.float64()), "total": pa.array([decimal.Decimal(total)], pa.decimal128(38, 0)), "n": pa.array([scores], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
 
 
 @query(
@@ -370,14 +383,20 @@ def _surprise(cell: pa.Table) -> pa.Table:
 )
 def surprise_pairs(spark, sf_dir):
     """Groups whose members differ in name, place and kind, over all pairs of a group. The reference looks at 50 pairs of a
-    group; here its members are dealt into blocks, and each two blocks are compared in a task that returns one row."""
+    group; here members that agree in all three are counted as one kind, kinds are dealt into blocks, and each two blocks
+    are compared in a task that returns one row. A member whose id repeats in its group keeps it: equal ids are no pair."""
     part = table(spark, sf_dir, "part").where("p_retailprice > 0 AND p_type IS NOT NULL AND p_partkey IS NOT NULL")
-    s = part.select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("dir"), F.col("p_size").alias("size"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("toks"))
-    blocks = s.groupBy("grp").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("blocks"))
-    dealt = s.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", "id", "dir", "size", "toks", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    cells = dealt.groupBy("grp", "i", "j").applyInArrow(_surprise, "grp string, peak double, total double, n long, pairs long").where("pairs > 0")
-    mean = F.round(F.try_divide(F.sum("total"), F.sum("n")), 6)
+    toks = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    s = part.select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("dir"), F.col("p_size").alias("size"), toks.alias("toks"))
+    each = s.groupBy("grp", "id", "dir", "size", "toks").agg(F.count("*").alias("n"))
+    each = each.groupBy("grp", "id").agg(F.sum("n").alias("all"), F.collect_list(F.struct("dir", "size", "toks", "n")).alias("m"))
+    each = each.select("grp", F.when(F.col("all") > 1, F.col("id")).alias("id"), F.inline("m"))
+    kinds = each.groupBy("grp", "id", "dir", "size", "toks").agg(F.sum("n").alias("n"))
+    blocks = kinds.groupBy("grp").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("blocks"))
+    dealt = kinds.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("id", "dir", "size", "toks"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", "id", "dir", "size", "toks", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cells = dealt.groupBy("grp", "i", "j").applyInArrow(_surprise, "grp string, peak double, total decimal(38,0), n long, pairs long").where("pairs > 0")
+    mean = F.round(F.try_divide(F.sum("total").cast("double"), F.sum("n")) / 1e6, 6)
     return cells.groupBy("grp").agg(F.round(F.max("peak"), 6).alias("peak"), mean.alias("mean"), F.sum("pairs").alias("pairs")).where("peak >= 0.5")
 
 

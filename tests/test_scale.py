@@ -4,10 +4,11 @@ import datetime
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from test_queries import rows
 
-from stratalens.plans import registry
+from stratalens.plans import analytics, registry
 
 
 def against_sql(spark, folder, name, **tables):
@@ -43,3 +44,15 @@ def test_rank_correlation_of_one_value(spark, tmp_path):
     odd = pd.DataFrame({"p_partkey": range(6), "p_brand": [None] * 6, "p_size": [1, 2, None, 4, 4, 6], "p_retailprice": [100.0, None, 300.0, 200.0, 500.0, 600.0]})
     got, want = against_sql(spark, tmp_path, "spearman", part=pd.concat([part, odd]).astype({"p_size": "Int32"}))
     assert got == want
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_surprise_counts_kinds(spark, tmp_path, monkeypatch, block):
+    """Members alike in all, repeated ids, nulls; each kind is met once however many members it has."""
+    monkeypatch.setattr(analytics, "MEMBER_BLOCK", block)
+    names = ["Red ring", "ring red", "big bolt", None, "red bolt red"]
+    part = pd.DataFrame([(i % 170, names[i % 5], None if i % 9 == 0 else f"b{i % 2}", f"t{i % 2}", None if i % 8 == 0 else i % 3, 900.0) for i in range(200)], columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).astype({"p_size": "Int32"})
+    got, want = against_sql(spark, tmp_path, "surprise_pairs", part=part)
+    assert got == want
+    cell = {"grp": ["g"], "id": pa.array([None], pa.int64()), "dir": ["a"], "size": [1], "toks": [["x"]], "n": [3_000_000], "own": [0], "i": [0], "j": [0]}
+    assert analytics._surprise(pa.table(cell)).column("pairs").to_pylist() == [3_000_000 * 2_999_999 // 2]
