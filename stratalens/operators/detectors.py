@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,15 +58,76 @@ PATTERNS = [
 ]
 
 
+#: Of each family, texts one of which is in every match of its pattern (in lower case where the pattern ignores case).
+LITERALS = {
+    "flask": [".route("],
+    "express": ["app.", "router."],
+    "fetch": ["fetch("],
+    "requests": ["requests."],
+    "axios": ["axios."],
+    "listen": ["listen(", "bind(", "accept("],
+    "grpc": ["grpc"],
+    "pipe": ["mkfifo", "CreateNamedPipe", "postMessage"],
+    "loop": ["optimizer.step(", ".backward("],
+    "epoch": ["epoch"],
+    "generate": [".generate("],
+    "sampling": ["temperature", "top_p", "top_k"],
+    "module": ["Module)"],
+    "weights": ["torch.save(", "torch.load(", "save_pretrained(", "load_state_dict("],
+    "vector": ["cosine_similarity", "embed_documents", "faiss"],
+    "loader": ["DataLoader(", "load_dataset("],
+    "docker": ["FROM"],
+    "terraform": ["resource"],
+    "cuda": ["__global__", "<<<", "cudaLaunchKernel("],
+    "triton": ["@triton."],
+    "numba": ["@cuda.jit"],
+    "device": ["__device__"],
+    "vision": ["CLIPModel", "CLIPProcessor", "ViTModel", "pixel_values", "image_processor"],
+    "audio": ["WhisperProcessor", "Wav2Vec2", "input_features", "torchaudio"],
+    "media": ["_path", "_url", "_file"],
+    "adapter": ["LoraConfig", "get_peft_model", "prepare_model_for_kbit_training"],
+    "preference": ["DPOTrainer", "PPOTrainer", "RewardTrainer", "GRPOTrainer"],
+    "concept": ["rlhf", "reward model", "preference data", "kl penalty"],
+    "chain": ["of thought", "of-thought"],
+    "reflect": ["step by step", "reflect on"],
+    "sdk": [".create("],
+    "endpoint": ["/v1/"],
+    "model": ["model"],
+    "definition": ["tool", "input_schema"],
+    "dispatch": ["tool_call"],
+    "framework": ["LLMChain", "RunnableSequence", "StateGraph", "AgentExecutor", "QueryEngine"],
+    "schema": ["response_format", "json_schema", "with_structured_output"],
+    "parser": ["PydanticOutputParser", "JsonOutputParser", "model_validate_json"],
+    "library": ["shap.", "LimeTextExplainer", "IntegratedGradients", "captum"],
+    "hook": ["register_forward_hook(", "register_backward_hook("],
+    "licence": ["licen"],
+    "copyright": ["copyright"],
+    "token": ["token"],
+    "password": ["password"],
+}
+
+
+def may_match(text: Column, low: Column, family: str, pattern: str) -> Column:
+    """Whether the text holds what every match of the pattern holds; `low` is the text in lower case."""
+    column = low if pattern.startswith("(?i)") else text
+    return reduce(or_, [F.contains(column, F.lit(x)) for x in LITERALS[family]])
+
+
+def may_hold_sites(text: Column, low: Column) -> Column:
+    """Whether any pattern may match in the text; a text that fails has no site."""
+    return reduce(or_, [may_match(text, low, family, pattern) for _, family, _, pattern in PATTERNS])
+
+
 def detect(lines: DataFrame) -> DataFrame:
-    """(path, line_no, cell, family, anchor) of lines of (path, line_no, line)."""
+    """(path, line_no, cell, family, anchor) of lines of (path, line_no, line). A pattern is tried on lines that hold its literals."""
+    lines = lines.withColumn("_low", F.lower("line")).where(may_hold_sites(F.col("line"), F.col("_low")))
     cells = list(dict.fromkeys(p[0] for p in PATTERNS))
     hits = []
     for cell in cells:
         found = F.lit(None).cast("struct<cell:string,family:string,anchor:boolean>")
         for c, family, anchor, pattern in reversed(PATTERNS):
             if c == cell:
-                found = F.when(F.col("line").rlike(pattern), F.struct(F.lit(c).alias("cell"), F.lit(family).alias("family"), F.lit(anchor).alias("anchor"))).otherwise(found)
+                found = F.when(may_match(F.col("line"), F.col("_low"), family, pattern) & F.col("line").rlike(pattern), F.struct(F.lit(c).alias("cell"), F.lit(family).alias("family"), F.lit(anchor).alias("anchor"))).otherwise(found)
         hits.append(found)
     sites = lines.select("path", "line_no", F.explode(F.filter(F.array(*hits), lambda s: s.isNotNull())).alias("s")).select("path", "line_no", "s.*")
     gate = F.bool_or("anchor").over(Window.partitionBy("path", "cell"))

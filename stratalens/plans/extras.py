@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from stratalens.functions import text as fn
 from stratalens.operators.corpus import files, lines, tokens
-from stratalens.operators.detectors import PATTERNS, detect
+from stratalens.operators.detectors import PATTERNS, detect, may_hold_sites
 from stratalens.plans.registry import query
 from stratalens.plans.search import FILES, LINES
 from stratalens.session import table
@@ -246,7 +246,8 @@ def _detector_sql() -> str:
 @query("detector_sites", _detector_sql())
 def detector_sites(spark, sf_dir):
     """Detector hits over the corpus, weak ones gated by an anchor in their file."""
-    return detect(lines(files(spark, sf_dir)).select("path", "line_no", "line"))
+    some = files(spark, sf_dir).withColumn("_low", F.lower("content")).where(may_hold_sites(F.col("content"), F.col("_low")))
+    return detect(lines(some).select("path", "line_no", "line"))
 
 
 @query(
