@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalens.operators.corpus import files, lines, norm_line, tokens
+from stratalens.operators.corpus import files, lines, norm_line, token_places, token_tallies, tokens, whole_paths
 from stratalens.plans.registry import query
 from stratalens.plans.search import FILES, LINES, NORM
 from stratalens.session import table
@@ -80,20 +80,17 @@ def _spoken(token):
     return F.length(token).between(3, 200) & ~F.lower(token).isin(STOP) & ~((F.length(token) >= 4) & (F.upper(token) == F.col(token)))
 
 
-def _per_file(spark, sf_dir):
-    return tokens(files(spark, sf_dir)).where(_spoken("token")).groupBy("path", "token").agg(F.count("*").alias("c"))
+def _bounded(corpus, v):
+    """Tokens in two files at least and not in too many, with the numbers of files and of corpora."""
+    n = corpus.agg(F.count("*").alias("n"), F.count_distinct("folder").alias("corpora"))
+    return v.join(F.broadcast(n)).where((F.col("doc_freq") >= 2) & (F.col("doc_freq") <= F.greatest(F.lit(5), F.floor(0.6 * F.col("n")))))
 
 
-def _vocabulary(spark, sf_dir):
-    """Frequencies and score of every identifier. Tokens are sorted within their document, so that a token's first place
-    there can be told, and all counts are combined map-side in one pass."""
-    f = files(spark, sf_dir)
-    own = f.select("folder", F.sort_array(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("ts"))
-    each = own.select("folder", F.explode(F.transform("ts", lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get(F.col("ts"), i - 1) != t)).alias("first")))).alias("e")).select("folder", "e.*")
-    by_folder = each.where(_spoken("token")).groupBy("token", "folder").agg(F.count_if("first").alias("d"), F.count("*").alias("c"))
+def _vocabulary(f, whole):
+    """Frequencies and score of every identifier of the files f, which are combined within tasks over their whole paths."""
+    by_folder = token_tallies(whole).where(_spoken("token")).groupBy("token", "folder").agg(F.sum("files").alias("d"), F.sum("uses").alias("c"))
     v = by_folder.groupBy("token").agg(F.sum("d").alias("doc_freq"), F.sum("c").alias("total_count"), F.count("folder").alias("held"))
-    n = f.agg(F.count("*").alias("n"), F.count_distinct("folder").alias("corpora"))
-    kept = v.join(F.broadcast(n)).where((F.col("doc_freq") >= 2) & (F.col("doc_freq") <= F.greatest(F.lit(5), F.floor(0.6 * F.col("n")))))
+    kept = _bounded(f, v)
     pieces = F.split(F.regexp_replace(F.regexp_replace("token", "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z])([A-Z][a-z])", "$1_$2"), "_")
     parts = F.greatest(F.size(F.filter(pieces, lambda p: p != "")), F.lit(1))
     compound = F.least(1 + 0.3 * (parts - 1), F.lit(2.5))
@@ -105,13 +102,15 @@ def _vocabulary(spark, sf_dir):
 @query("vocabulary", VOCABULARY + " SELECT token, doc_freq, total_count, score FROM s")
 def vocabulary(spark, sf_dir):
     """Document and total frequency and score of every identifier within the bounds."""
-    return _vocabulary(spark, sf_dir).select("token", "doc_freq", "total_count", "score")
+    f = files(spark, sf_dir)
+    return _vocabulary(f, whole_paths(f)).select("token", "doc_freq", "total_count", "score")
 
 
 @query("vocabulary_top", VOCABULARY + " SELECT token, doc_freq, score FROM s ORDER BY score DESC, token LIMIT 50")
 def vocabulary_top(spark, sf_dir):
     """The fifty best."""
-    return _vocabulary(spark, sf_dir).select("token", "doc_freq", "score").orderBy(F.desc("score"), "token").limit(50)
+    f = files(spark, sf_dir)
+    return _vocabulary(f, whole_paths(f)).select("token", "doc_freq", "score").orderBy(F.desc("score"), "token").limit(50)
 
 
 @query(
@@ -121,7 +120,8 @@ def vocabulary_top(spark, sf_dir):
 )
 def vocabulary_density(spark, sf_dir):
     """Each file's sum of scores by the share of the token's uses that it has."""
-    v, per_file = _vocabulary(spark, sf_dir), _per_file(spark, sf_dir)
+    f = files(spark, sf_dir)
+    v, per_file = _vocabulary(f, whole_paths(f)), tokens(f).where(_spoken("token")).groupBy("path", "token").agg(F.count("*").alias("c"))
     j = per_file.join(v.select("token", "score", "total_count"), "token")
     return j.groupBy("path").agg(F.round(F.sum(F.col("score") * F.col("c") / F.col("total_count")), 4).alias("density"), F.count("*").alias("terms"))
 
@@ -133,11 +133,11 @@ def vocabulary_density(spark, sf_dir):
          SELECT token, path, c AS uses, rank FROM r WHERE rank <= 3""",
 )
 def vocabulary_places(spark, sf_dir):
-    """The three files that use each token most."""
-    v, per_file = _vocabulary(spark, sf_dir), _per_file(spark, sf_dir)
-    w = Window.partitionBy("token").orderBy(F.desc("c"), "path")
-    ranked = per_file.join(v.select("token"), "token", "left_semi").withColumn("rank", F.row_number().over(w))
-    return ranked.where("rank <= 3").select("token", "path", F.col("c").alias("uses"), "rank")
+    """The three files that use each token most, of the three best of each block of files."""
+    f = files(spark, sf_dir)
+    each = token_places(whole_paths(f), best=3).where(_spoken("token")).groupBy("token").agg(F.sum("files").alias("doc_freq"), F.flatten(F.collect_list("places")).alias("places"))
+    first = _bounded(f, each).select("token", F.posexplode(F.slice(F.array_sort("places"), 1, 3)).alias("at", "place"))
+    return first.select("token", "place.path", (-F.col("place.less")).alias("uses"), (F.col("at") + 1).alias("rank"))
 
 
 @query(
@@ -180,7 +180,7 @@ def concepts(spark, sf_dir):
 def idf_formulas(spark, sf_dir):
     """The four inverse document frequencies, side by side."""
     f = files(spark, sf_dir)
-    per = tokens(f).groupBy("token", "path").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("df"), F.sum("c").alias("tf"))
+    per = token_tallies(whole_paths(f)).groupBy("token").agg(F.sum("files").alias("df"), F.sum("uses").alias("tf"))
     n = F.col("n")
     return per.join(F.broadcast(f.agg(F.count("*").alias("n")))).select(
         "token", "df", "tf",

@@ -22,3 +22,11 @@ def local_session(cpus: int | str = "*", app: str = "stratalens") -> SparkSessio
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in batches bounded by bytes as well as rows, as texts may be long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from test_queries import rows
 
-from stratalens.plans import analytics, registry
+from stratalens.operators import corpus
+from stratalens.plans import analytics, extras, registry  # noqa: F401
 
 
 def against_sql(spark, folder, name, **tables):
@@ -56,3 +57,37 @@ def test_surprise_counts_kinds(spark, tmp_path, monkeypatch, block):
     assert got == want
     cell = {"grp": ["g"], "id": pa.array([None], pa.int64()), "dir": ["a"], "size": [1], "toks": [["x"]], "n": [3_000_000], "own": [0], "i": [0], "j": [0]}
     assert analytics._surprise(pa.table(cell)).column("pairs").to_pylist() == [3_000_000 * 2_999_999 // 2]
+
+
+def some_documents():
+    """Rows that share a path, by null or repeated ids and by null sources; digits before and within words; a text beyond a stretch."""
+    words = "alpha betaGamma HTTPServer 12abc x_1 the NOT ALLCAPS _ __ a1b2 9 naïve delta_delta".split()
+    rows = [(i, " ".join(words[(i * k) % len(words)] for k in range(1, 4 + i % 9)) + f" only{i} pair{i // 2} near{i // 15} far{i // 30}", "en" if i % 2 else "de", f"src{i % 4}") for i in range(90)]
+    rows += [(None, "alpha alpha shared_words one_path", "en", "src1"), (None, "shared_words one_path", "en", "src1"), (7, "shared_words alpha", "en", "src3"), (7, "twice twice", None, "src3"), (8, "twice", "src3", None)]
+    rows += [(8, "onlyNull", None, None), (100, None, "en", "src0"), (101, "", "en", "src0"), (102, "1 2 3 é", "en", "src0"), (103, "alpha9 " * 200_000 + "last", "en", "src2"), (104, "y" * (1 << 21) + " alpha9", "en", "src2")]
+    return pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})
+
+
+@pytest.mark.parametrize("held", [50, 1 << 20])
+@pytest.mark.parametrize("name", ["vocabulary", "vocabulary_places", "vocabulary_density", "idf_formulas", "rare_tokens"])
+def test_tokens_by_blocks_of_files(spark, tmp_path, monkeypatch, name, held):
+    monkeypatch.setattr(corpus, "HELD", held)
+    monkeypatch.setattr(corpus, "OUT_ROWS", min(held, 1 << 16))
+    got, want = against_sql(spark, tmp_path, name, documents=some_documents())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["vocabulary", "vocabulary_places", "rare_tokens"])
+def test_tokens_where_many_paths_are_shared(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(corpus, "SHARED_PATHS", 1)
+    got, want = against_sql(spark, tmp_path, name, documents=some_documents())
+    assert got == want
+
+
+def test_places_of_frequent_tokens_stay(spark):
+    """A token of many files takes three rows of a block, or none, not one a file."""
+    f = spark.createDataFrame([(f"p{i:03}", "a", "hot hot" if i == 50 else f"hot own{i}") for i in range(100)], "path string, folder string, content string").coalesce(1)
+    (best,) = corpus.token_places(f, best=3).where("token = 'hot'").collect()
+    assert (best.files, [tuple(x) for x in best.places]) == (100, [(-2, "p050"), (-1, "p000"), (-1, "p001")])
+    few = {r.token: (r.files, len(r.places)) for r in corpus.token_places(f, few=20).collect()}
+    assert few["hot"] == (100, 0) and few["own7"] == (1, 1) and len(few) == 100
