@@ -119,11 +119,12 @@ def vocabulary_top(spark, sf_dir):
     + """, d AS (SELECT path, round(sum(score * c / total_count), 4) AS density, count(*) AS terms FROM pf JOIN s USING (token) GROUP BY path) SELECT * FROM d""",
 )
 def vocabulary_density(spark, sf_dir):
-    """Each file's sum of scores by the share of the token's uses that it has."""
+    """Each file's sum of scores by the share of the token's uses that it has. Scores meet a token once a block of files."""
     f = files(spark, sf_dir)
-    v, per_file = _vocabulary(f, whole_paths(f)), tokens(f).where(_spoken("token")).groupBy("path", "token").agg(F.count("*").alias("c"))
-    j = per_file.join(v.select("token", "score", "total_count"), "token")
-    return j.groupBy("path").agg(F.round(F.sum(F.col("score") * F.col("c") / F.col("total_count")), 4).alias("density"), F.count("*").alias("terms"))
+    whole = whole_paths(f)
+    j = token_places(whole).where(_spoken("token")).join(_vocabulary(f, whole).select("token", "score", "total_count"), "token")
+    each = j.select("score", "total_count", F.inline("places")).select("path", F.col("score") * -F.col("less") / F.col("total_count"))
+    return each.toDF("path", "share").groupBy("path").agg(F.round(F.sum("share"), 4).alias("density"), F.count("*").alias("terms"))
 
 
 @query(
