@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.functions import text as fn
-from stratalens.operators.corpus import files, lines, tokens
+from stratalens.operators.corpus import files, lines, token_kinds, token_places, tokens, whole_paths
 from stratalens.operators.detectors import PATTERNS, detect, may_hold_sites
 from stratalens.plans.registry import query
 from stratalens.plans.search import FILES, LINES
@@ -140,11 +140,12 @@ def fingerprint_groups(spark, sf_dir):
         SELECT path, count(CASE WHEN df = 1 THEN 1 END) AS own, count(CASE WHEN df BETWEEN 2 AND 20 THEN 1 END) AS shared, count(*) AS total FROM t JOIN df USING (token) GROUP BY path""",
 )
 def rare_tokens(spark, sf_dir):
-    """Tokens of each file that no other or few others have."""
-    t = tokens(files(spark, sf_dir)).select("path", "token").distinct()
-    df = t.groupBy("token").agg(F.count("*").alias("df"))
-    g = t.join(df, "token").groupBy("path")
-    return g.agg(F.count_if(F.col("df") == 1).alias("own"), F.count_if(F.col("df").between(2, 20)).alias("shared"), F.count("*").alias("total"))
+    """Tokens of each file that no other or few others have. Only places of tokens in few files of a block are moved."""
+    whole = whole_paths(files(spark, sf_dir))
+    rare = token_places(whole, few=20).groupBy("token").agg(F.sum("files").alias("df"), F.flatten(F.collect_list("places")).alias("places")).where("df <= 20")
+    each = rare.select("df", F.inline("places")).select("path", F.when(F.col("df") == 1, 1).otherwise(0).alias("own"), F.when(F.col("df") > 1, 1).otherwise(0).alias("shared"), F.lit(0).cast("long").alias("total"))
+    all_of = token_kinds(whole).where("kinds > 0").select("path", F.lit(0).alias("own"), F.lit(0).alias("shared"), F.col("kinds").alias("total"))
+    return each.union(all_of).groupBy("path").agg(*[F.sum(c).alias(c) for c in ("own", "shared", "total")])
 
 
 @query("cache_keys", "SELECT doc_id, substr(sha256('search: ' || substr(text, 1, 1500)), 1, 16) AS key FROM documents")
