@@ -294,27 +294,36 @@ TOKEN_BLOCK = 256
 def token_fingerprint_pairs(spark, sf_dir):
     """Pairs of sets at a Jaccard similarity of 0.2 or more, the best three of each. Candidates meet on a prefix of
     their tokens, the rare ones first: of n tokens, two such sets share one of the first n - ceil(0.2 n) + 1. Tokens in
-    more than TOKEN_BLOCK sets are dealt into blocks, and each two blocks meet in a task. Whole sets decide."""
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("tok")).distinct()
-    known = t.where("tok IS NOT NULL")
-    df = known.groupBy("tok").agg(F.count("*").alias("df"))
+    more than TOKEN_BLOCK sets are dealt into blocks, and each two blocks meet in a task. Two sets are compared only where
+    64 bits of each leave room for enough shared tokens, and at the first token they share. Whole sets decide."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("tok")).where("a IS NOT NULL")
+    # rows of a token are brought together once, for the distinct ones and for their number
+    known = rows.where("tok IS NOT NULL").repartition("tok").distinct().withColumn("df", F.count("*").over(Window.partitionBy("tok")))
     # a null token counts in the size and matches nothing
-    sizes = t.where("a IS NOT NULL").groupBy("a").agg(F.count("*").alias("n"))
-    sets = known.join(df, "tok").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s")).join(sizes, "a")
+    each = known.select("a", "df", "tok").union(rows.where("tok IS NULL").distinct().select("a", F.lit(None).cast("long"), "tok"))
+    seen = F.when(F.col("tok").isNotNull(), F.struct("df", "tok"))
+    bit = F.when(F.col("tok").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("tok"), F.lit(64)).cast("int")))
+    sets = each.groupBy("a").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(seen)).alias("s"), F.bit_or(bit).alias("bits"))
     # scores are rounded to six digits before they meet the threshold
     first = (F.col("n") - F.ceil(F.col("n") * 0.1999995) + 1).cast("int")
-    rows = sets.select("a", "n", F.col("s.tok").alias("toks"), F.inline(F.slice("s", F.lit(1), first)))
+    rows = sets.select("a", "n", "bits", F.col("s.tok").alias("toks"), F.inline(F.slice("s", F.lit(1), first)))
     blocks = F.ceil(F.col("df") / TOKEN_BLOCK).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "n", "toks")
+    dealt = dealt.select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "n", "bits", "toks")
     x, y = dealt.alias("x"), dealt.alias("y")
-    shared = F.size(F.array_intersect("x.toks", "y.toks"))
-    score = F.round(shared / (F.col("x.n") + F.col("y.n") - shared), 6)
     met = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     # two of one block meet only where both blocks are theirs
     once = (F.col("x.own") != F.col("y.own")) | (F.col("x.i") == F.col("x.j"))
-    p = x.join(y, met & (F.col("x.a") < F.col("y.a")) & once & (score >= 0.2))
-    j = p.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), shared.cast("long").alias("shared"), score.alias("score")).distinct()
+    # a token whose bit the other set lacks is not shared
+    apart = lambda one, other: F.col(f"{one}.n") - F.bit_count(F.col(f"{one}.bits").bitwiseAND(F.bitwise_not(F.col(f"{other}.bits"))))
+    most = F.least(apart("x", "y"), apart("y", "x"))
+    room = most >= 0.199999 * (F.col("x.n") + F.col("y.n") - most)
+    common = F.array_intersect("x.toks", "y.toks")
+    # where there is room for one only, it is the one they met at
+    shared = F.when(most <= 1, 1).otherwise(F.size(common))
+    score = F.round(shared / (F.col("x.n") + F.col("y.n") - shared), 6)
+    p = x.join(y, met & (F.col("x.a") < F.col("y.a")) & once & room & ((most <= 1) | (F.get(common, F.lit(0)) == F.col("x.tok"))) & (score >= 0.2))
+    j = p.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), shared.cast("long").alias("shared"), score.alias("score"))
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return j.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared", "score")
 

@@ -1,6 +1,7 @@
 """Queries on odd and larger tables of the tests' own, against their SQL."""
 
 import datetime
+import random
 
 import duckdb
 import pandas as pd
@@ -91,3 +92,18 @@ def test_places_of_frequent_tokens_stay(spark):
     assert (best.files, [tuple(x) for x in best.places]) == (100, [(-2, "p050"), (-1, "p000"), (-1, "p001")])
     few = {r.token: (r.files, len(r.places)) for r in corpus.token_places(f, few=20).collect()}
     assert few["hot"] == (100, 0) and few["own7"] == (1, 1) and len(few) == 100
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_fingerprints_of_odd_sets(spark, tmp_path, monkeypatch, block):
+    """Nulls, sets of nothing but null, repeated rows, large sets, copies, and a token in all; most pairs are told by bits."""
+    monkeypatch.setattr(analytics, "TOKEN_BLOCK", block)
+    rng = random.Random(8)
+    rows = [(a, rng.randrange(40)) for a in range(120) for _ in range(1 + a % 9)] + [(a, 7) for a in range(30)] + [(5, 3)] * 4
+    rows += [(200 + k, t) for k in range(6) for t in range(1000 + 7 * k, 1150 + 7 * k)] + [(300 + k, t) for k in range(5) for t in (1, 2, 3)]
+    rows += [(None, 7), (None, None), (400, None), (401, None), (402, None), (402, 7), (3, None), (3, None)]
+    lineitem = pd.DataFrame(rows, columns=["l_orderkey", "l_partkey"]).astype("Int64")
+    got, want = against_sql(spark, tmp_path, "token_fingerprint_pairs", lineitem=lineitem)
+    assert got == want
+    plan = registry.QUERIES["token_fingerprint_pairs"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "bit_count" in plan
